@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.llm.common import table
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.lm_score import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.near_dedup import near_duplicates
 
@@ -16,7 +22,7 @@ def op4_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_setsketch_near_dedup]
+    found = [op1_lm_scores, op4_setsketch_near_dedup]
     return {f.__name__: f for f in found}
 
 
