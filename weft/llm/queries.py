@@ -40,8 +40,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lm_scores, op4_setsketch_near_dedup, op5_bpe]
+    found = [op1_lm_scores, op4_setsketch_near_dedup, op5_bpe, op8_quality_subwords, op9_toxicity]
     return {f.__name__: f for f in found}
 
 

@@ -23,7 +23,7 @@ from weft.llm.quality import labelled
 
 #: The most labelled rows that are learned from, and the most features kept.
 SAMPLE, FEATURES = 8000, 4000
-BEGINNINGS = (4, 5)
+BEGINNINGS = (3, 4, 5, 6)
 #: Terms for groups of people that stand for one another in swapped sentences.
 IDENTITY = (
     "women men girls boys muslim muslims christian christians jewish jews hindu hindus buddhist atheist gay lesbian bisexual transgender straight queer "
