@@ -1,6 +1,7 @@
 import math
 import zlib
 
+import numpy as np
 import pytest
 
 from weft.llm.queries import op8_quality_subwords, op9_toxicity
@@ -49,17 +50,18 @@ def test_edge_rows(spark, edge, empty, no_labels, scores):
     assert scores(empty, labels).count() == 0
 
 
-def test_neutral_mentions_stay_low():
+def test_swapped_copies_lower_the_weight_of_identity_terms():
+    rng = np.random.default_rng(4)
     abuse, plain = ["idiot", "scum", "worthless"], "the a of to on with is are for by".split()
     texts, y = [], []
-    for k in range(300):
-        group = IDENTITY[k % 8]
-        filler = " ".join(plain[(k * j) % 10] for j in range(1, 9))
-        texts.append(f"{group} {filler} {abuse[k % 3]}" if k % 2 else f"{filler} {'hello' if k % 4 else group}")
+    for k in range(600):  # group terms come with abuse far more often than without
+        own = list(rng.choice(plain, 5)) + ([IDENTITY[rng.integers(8)]] if rng.random() < (0.9 if k % 2 else 0.2) else [])
+        texts.append(" ".join(own + ([abuse[rng.integers(3)]] if k % 2 and rng.random() < 0.8 else [])))
         y.append(k % 2)
-    import numpy as np
-
-    w, bias = train(texts, np.array(y))
-    score = lambda *x: bias + sum(w.get(f, 0) for f in features(set(x)))
-    mention, insult = score(IDENTITY[1], "the", "of"), score("idiot", "the", "of")
-    assert mention < 0 < insult
+    raised = {}
+    for penalty in (0.0, 2.0):
+        w, bias = train(texts, np.array(y), penalty=penalty)
+        score = lambda *x: bias + sum(w.get(f, 0) for f in features(set(x)))  # noqa: E731, B023
+        raised[penalty] = np.mean([score(g, "the", "of") - score("the", "of") for g in IDENTITY[:8]])
+        assert score("idiot", "the", "of") > score("the", "of") + 1
+    assert raised[2.0] < 0.5 * raised[0.0]
