@@ -16,6 +16,20 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth"
+    )
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.near_dedup import near_duplicates
 
@@ -40,6 +54,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.mixing import plan
+
+    return plan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.quality import quality_scores
 
@@ -52,8 +78,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.secrets import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lm_scores, op4_setsketch_near_dedup, op5_bpe, op8_quality_subwords, op9_toxicity]
+    found = [
+        op1_lm_scores, op2_media_columns, op3_license_scan, op4_setsketch_near_dedup, op5_bpe,
+        op6_mixing, op7_embedding_near_dedup, op8_quality_subwords, op9_toxicity, op10_secret_scan,
+    ]
     return {f.__name__: f for f in found}
 
 
