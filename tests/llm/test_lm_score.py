@@ -69,7 +69,8 @@ def test_empty(spark, empty):
 def test_filter_levels():
     fp = np.arange(5000, dtype=np.uint32) * np.uint32(2654435761)
     counts = (np.arange(5000) % 200 + 1).astype(np.int64)
-    f = Filter([Filter.build(0, fp, counts)], 1)
+    seg, bits, raw = Filter.build(0, fp, counts)
+    f = Filter([(seg, bits, len(raw))], raw, 1)
     seg = np.zeros(5000, np.int64)
     level = f.levels(seg, fp)
     true = np.searchsorted(LEVELS, counts, side="right")

@@ -19,6 +19,7 @@ its words and one end token, after a start context.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -33,11 +34,11 @@ from weft.llm.common import MIX, hashes, remainder, scramble, words
 from weft.storage import materialise
 
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"")), np.uint64(0x5EED)
-BITS_PER_ENTRY, PROBES = 12, 8
+BITS_PER_ENTRY, PROBES = 14, 10
 #: Tokens of the corpus to a segment; bounds what one group holds.
 SEGMENT_TOKENS = 4_000_000
 #: Bytes of text whose documents are handled together.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 MU = 32.0
 
 
@@ -68,15 +69,14 @@ def _positions(seg: np.ndarray, fp: np.ndarray, level: int) -> tuple[np.ndarray,
 class Filter:
     """Segments of a log-frequency Bloom filter, side by side."""
 
-    def __init__(self, parts: list[tuple[int, int, bytes]], segments: int):
-        parts = sorted(parts)
+    def __init__(self, parts: list[tuple[int, int, int]], data: bytes | bytearray, segments: int):
+        """parts: (segment, its bits, its bytes), in the order of data; data isn't copied."""
         self.bits, self.start = np.zeros(segments, np.uint64), np.zeros(segments, np.uint64)
-        at, data = 0, []
-        for seg, bits, raw in parts:
+        at = 0
+        for seg, bits, size in parts:
             self.bits[seg], self.start[seg] = bits, at
-            at += len(raw) * 8
-            data.append(raw)
-        self.data = np.frombuffer(b"".join(data), np.uint8)
+            at += size * 8
+        self.data = np.frombuffer(data, np.uint8)
 
     @staticmethod
     def build(seg: int, fp: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes]:
@@ -228,7 +228,7 @@ def _probe(segments: int):
     """Beyond the broadcast bound: a segment answers the probes of every chunk."""
 
     def run(asked: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-        f = Filter([(int(x.seg), int(x.bits), x.raw) for x in filters.itertuples()], segments)
+        f = Filter([(int(x.seg), int(x.bits), len(x.raw)) for x in filters.itertuples()], b"".join(filters["raw"]), segments)
         out = []
         for r in asked.itertuples():
             fp = np.frombuffer(r.fps, np.uint32)
@@ -238,7 +238,11 @@ def _probe(segments: int):
     return run
 
 
-def _scores(segments: int, total: int, distinct: int, mu: float, filters):
+#: The filter that this worker has unpacked, by a token of its run.
+_held: dict[str, Filter] = {}
+
+
+def _scores(segments: int, total: int, distinct: int, mu: float, filters, token: str):
     def run(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         r = next(chunk.itertuples())
         vocab, tokens, lens = np.frombuffer(r.vocab, np.uint64), _unpack(r.tokens, np.uint32), np.frombuffer(r.lens, np.int64)
@@ -255,7 +259,10 @@ def _scores(segments: int, total: int, distinct: int, mu: float, filters):
         bseg, bfp = _bigrams(r, segments)
         key, where = np.unique((bseg.astype(np.uint64) << np.uint64(32)) | bfp, return_inverse=True)
         if filters is not None:
-            level = Filter(*filters.value).levels((key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32))
+            if token not in _held:
+                _held.clear()
+                _held[token] = Filter(*filters.value)
+            level = _held[token].levels((key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32))
         else:
             level = np.concatenate([_unpack(x, np.uint8) for x in answers[answers["what"] == 1].sort_values("seg")["counts"]])
         value = np.append(0, LEVELS)[level][where]
@@ -308,7 +315,12 @@ def lm_scores(
     reply = answers.select("chunk", "seg", "counts", F.lit(0).alias("what"))
     size = filters.agg(F.sum("size")).first()[0] or 0
     if size <= broadcast_bytes:
-        held = spark.sparkContext.broadcast(([(r.seg, r.bits, bytes(r.raw)) for r in filters.select("seg", "bits", "raw").collect()], segments))
+        parts, data = [], bytearray()
+        for r in filters.select("seg", "bits", "raw").toLocalIterator():  # at most broadcast_bytes in all
+            parts.append((r.seg, r.bits, len(r.raw)))
+            data += r.raw
+        held = spark.sparkContext.broadcast((parts, bytes(data), segments))
+        del data
     else:
         held = None
         asked = chunks.mapInPandas(_distinct_bigrams(segments, False), "chunk long, seg long, fps binary, counts binary")
@@ -318,7 +330,7 @@ def lm_scores(
         chunks.groupBy("chunk")
         .cogroup(reply.groupBy("chunk"))
         .applyInPandas(
-            _scores(segments, total, distinct, mu, held),
+            _scores(segments, total, distinct, mu, held, uuid.uuid4().hex),
             "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
         )
     )
