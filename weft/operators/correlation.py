@@ -65,13 +65,35 @@ def gram_blocks(vectors: DataFrame, vec_col: str, p: int) -> DataFrame:
     )
 
 
-def kendall(x: np.ndarray, y: np.ndarray, block: int = 512) -> float:
-    """Tau-b, in blocks of bounded memory."""
-    num = dx = dy = 0.0
-    for k in range(0, len(x), block):
-        sx, sy = np.sign(x[k : k + block, None] - x[None, :]), np.sign(y[k : k + block, None] - y[None, :])
-        num, dx, dy = num + (sx * sy).sum(), dx + (sx != 0).sum(), dy + (sy != 0).sum()
-    return float(num / np.sqrt(dx * dy)) if dx and dy else float("nan")
+def _inversions(ranks: np.ndarray) -> int:
+    """Pairs k < l with ranks[k] > ranks[l]: bottom-up merging, one sort a level."""
+    n, at, total, width = len(ranks), np.arange(len(ranks)), 0, 1
+    while width < n:
+        block, half = at // (2 * width), (at // width) & 1
+        order = np.lexsort((half, ranks, block))
+        left = half[order] == 0
+        seen = np.cumsum(left)
+        ends = np.searchsorted(block, block, side="right") - 1  # last place of each block
+        rest = seen[ends] - seen  # left members of the same block that are larger
+        total += int(rest[~left].sum())
+        width *= 2
+    return total
+
+
+def _tied(*columns: np.ndarray) -> int:
+    """Pairs that agree in all columns."""
+    _, n = np.unique(np.stack(columns), axis=1, return_counts=True)
+    return int((n * (n - 1) // 2).sum())
+
+
+def kendall(x: np.ndarray, y: np.ndarray) -> float:
+    """Tau-b in n log^2 n."""
+    n0 = len(x) * (len(x) - 1) // 2
+    tx, ty, txy = _tied(x), _tied(y), _tied(x, y)
+    order = np.lexsort((y, x))
+    swaps = _inversions(np.unique(y, return_inverse=True)[1][order])
+    bottom = float(n0 - tx) * float(n0 - ty)
+    return (n0 - tx - ty + txy - 2 * swaps) / bottom**0.5 if bottom else float("nan")
 
 
 def _pairwise(method: str):
