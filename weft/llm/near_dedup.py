@@ -245,3 +245,16 @@ def near_duplicates(
         F.coalesce("component", "rep", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "rep", "id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of docs, with all their columns, but for those that another row of their group stands for.
+
+    Rows with a null id stay; of rows that repeat an id all stay or all go.
+    The ids that go are broadcast while they are measured to be few;
+    otherwise both sides shuffle.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = materialise(found.where(~F.col("kept")).select(F.col(id_col).alias("gone")).distinct(), "gone")
+    few = gone.count() * 16 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")

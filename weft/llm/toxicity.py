@@ -91,25 +91,50 @@ def train(texts: list[str | None], y: np.ndarray, identity=IDENTITY, penalty: fl
     return {f: float(w[i]) for f, i in index.items() if w[i]}, bias
 
 
+class Model:
+    """Weights by kind of feature, ready to score."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        self.bias = bias
+        self.whole = {f: w for f, w in weights.items() if not f.endswith("-")}
+        self.begin = {n: {f[:-1]: w for f, w in weights.items() if f.endswith("-") and len(f) == n + 1} for n in BEGINNINGS}
+
+    def scores(self, texts) -> np.ndarray:
+        out = []
+        for text in texts:
+            words = words_of(text)
+            z = self.bias + sum(map(self.whole.__getitem__, sorted(self.whole.keys() & words)))
+            for n, known in self.begin.items():
+                z += sum(map(known.__getitem__, sorted(known.keys() & {w[:n] for w in words})))
+            out.append(z)
+        return 1 / (1 + np.exp(-np.clip(np.array(out, float), -40, 40)))
+
+
 def _scorer(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, bias = model.value
-        whole = {f: w for f, w in weights.items() if not f.endswith("-")}
-        begin = {n: {f[:-1]: w for f, w in weights.items() if f.endswith("-") and len(f) == n + 1} for n in BEGINNINGS}
+        own = Model(*model.value)
         for pdf in small_batches(batches):
-            scores = []
-            for text in pdf["text"]:
-                words = words_of(text)
-                z = bias + sum(map(whole.__getitem__, whole.keys() & words))
-                for n, known in begin.items():
-                    z += sum(map(known.__getitem__, known.keys() & {w[:n] for w in words}))
-                scores.append(z)
-            z = np.clip(np.array(scores, float), -40, 40)
-            yield pd.DataFrame({"id": pd.array(pdf["id"], "Int64"), "held_out": pdf["held"].to_numpy(bool), "score": 1 / (1 + np.exp(-z))})
+            yield pd.DataFrame({"id": pd.array(pdf["id"], "Int64"), "held_out": pdf["held"].to_numpy(bool), "score": own.scores(pdf["text"])})
+
+    return run
+
+
+def _series_scorer(model):
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Model(*model.value)
+        for t in texts:
+            yield pd.Series(own.scores(t))
 
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return run
 
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = SAMPLE):
+    """A broadcast model learned from at most ``sample`` labelled rows outside the held-out fold."""
+    known = labelled(docs, labels, id_col, text_col, label_col, folds, held_fold, sample)
+    return docs.sparkSession.sparkContext.broadcast(train(list(known["text"]), known["y"].to_numpy(int)))
+
+
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, threshold: float = 0.7, sample: int = SAMPLE
 ) -> DataFrame:
@@ -121,10 +146,20 @@ def toxicity_scores(
     without labelled rows the score is 0.5; an empty table gives an empty
     result; other columns are ignored.
     """
-    known = labelled(docs, labels, id_col, text_col, label_col, folds, held_fold, sample)
-    model = docs.sparkSession.sparkContext.broadcast(train(list(known["text"]), known["y"].to_numpy(int)))
+    model = fitted(docs, labels, id_col, text_col, label_col, folds, held_fold, sample)
     plain = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (remainder(id_col, folds) == held_fold).alias("held")
     )
     scored = plain.mapInPandas(_scorer(model), "id long, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
+    """Rows of docs, with all their columns, whose score is below the threshold.
+
+    Scored row by row where they are, so nothing is joined back; nulls,
+    repeats and empty tables as in toxicity_scores.
+    """
+    model = fitted(docs, labels, id_col, text_col, **options)
+    score = F.pandas_udf(_series_scorer(model), "double")
+    return docs.where(score(F.col(text_col).cast("string")) < threshold)
