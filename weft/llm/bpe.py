@@ -141,13 +141,20 @@ class Tokenizer:
 _made: dict[int, Tokenizer] = {}
 
 
-def _coder(spec, decode: bool):
+def shared_tokenizer(spec: str) -> Tokenizer:
+    """The worker's tokenizer of this vocabulary, made once."""
+    key = hash(spec)
+    if key not in _made:
+        _made.clear()
+        _made[key] = Tokenizer(spec)
+    return _made[key]
+
+
+def _coder(spec, decode: bool, keep: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not _made:
-            _made[0] = Tokenizer(spec.value)
-        t = _made[0]
+        t = shared_tokenizer(spec.value)
         for pdf in small_batches(batches, 512):
-            out: dict[str, list] = {"id": pd.array(pdf["id"], "Int64"), "ids": [], "decoded": []}
+            out: dict[str, list] = {"id": pd.array(pdf["id"], "Int64"), "ids": [], "decoded": [], **{f"keep_{k}": pdf[f"keep_{k}"] for k in range(len(keep))}}
             for text in pdf["text"]:
                 ids = t.encode(text or "")
                 out["ids"].append(np.array(ids, "<u4").tobytes())
@@ -157,8 +164,8 @@ def _coder(spec, decode: bool):
     return run
 
 
-def bpe_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
-    """(id_col, ids, decoded): token ids as little-endian unsigned 32-bit integers, and the text they decode to.
+def bpe_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, ids, decoded, *keep): token ids as little-endian unsigned 32-bit integers, the text they decode to, and columns of docs.
 
     vocabulary: path of a tokenizers JSON file with a byte-level BPE model; it
     is read once by the driver and broadcast (a vocabulary's size is fixed).
@@ -168,6 +175,8 @@ def bpe_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    coded = plain.mapInPandas(_coder(spec, decode), "id long, ids binary, decoded string")
-    return coded.withColumnRenamed("id", id_col)
+    more = [F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)]
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[2:])
+    coded = plain.mapInPandas(_coder(spec, decode, keep), "id long, ids binary, decoded string" + kinds)
+    return coded.select(F.col("id").alias(id_col), "ids", "decoded", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
