@@ -42,7 +42,7 @@ def compare(got, want):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert tuple(g[:7]) == tuple(w[:7])
-        assert g[7] == pytest.approx(w[7], abs=1e-9)
+        assert g[7] == pytest.approx(w[7], abs=1e-6)
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])

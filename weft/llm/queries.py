@@ -27,7 +27,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.licenses import license_scan
 
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 def op4_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from weft.llm import sql
+
+    return {"op3_license_scan": sql.license_scan(), "op4_setsketch_near_dedup": sql.near_dedup(2), "op7_embedding_near_dedup": sql.near_vectors()}
