@@ -235,13 +235,6 @@ def q_components(spark, sf_dir):
     return connected_components(strong).select("node", "component")
 
 
-def q_order_components(spark, sf_dir):
-    """Suppliers joined to the parts they shipped together in one order line; parts as negative ids."""
-    pairs = _table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("i"), (-F.col("l_partkey") - 1).alias("j"))
-    near = connected_components(pairs)
-    return near.groupBy("component").agg(F.count("*").alias("n"))
-
-
 def q_remap_roots(spark, sf_dir):
     return edges.root_map(part_merges(spark)).select("id", "root")
 
@@ -461,7 +454,23 @@ def boost_sql(source: str = "z", steps: int = STEPS, until: int | None = None) -
     return ", ".join(parts)
 
 
+def upgma_sql(table: str, top: int, merges: int, psi: float = 1.0) -> str:
+    """CTEs up to forest(c1, c2, height, merged, merge_no): average linkage of (i, j, dist), one merge after the other."""
+    parts = [f"e0 AS MATERIALIZED (SELECT i, j, dist FROM {table})", "sz0 AS MATERIALIZED (SELECT DISTINCT id, CAST(1 AS DOUBLE) AS n FROM (SELECT i AS id FROM e0 UNION ALL SELECT j FROM e0))"]
+    for k in range(merges):
+        new = f"CAST({top + k + 1} AS BIGINT)"
+        parts += [
+            f"b{k} AS MATERIALIZED (SELECT *, (SELECT n FROM sz{k} WHERE id = a) AS na, (SELECT n FROM sz{k} WHERE id = b) AS nb FROM (SELECT arg_min(i, (dist, -i, -j)) AS a, arg_min(j, (dist, -i, -j)) AS b, min(dist) AS h FROM e{k} HAVING count(*) > 0))",
+            f"sz{k + 1} AS MATERIALIZED (SELECT id, n FROM sz{k}, b{k} WHERE id NOT IN (a, b) UNION ALL SELECT {new}, na + nb FROM b{k})",
+            f"x{k} AS MATERIALIZED (SELECT CASE WHEN i IN (a, b) THEN j ELSE i END AS v, i = a OR j = a AS at_a, dist, na, nb FROM e{k}, b{k} WHERE (i IN (a, b)) <> (j IN (a, b)))",
+            f"e{k + 1} AS MATERIALIZED (SELECT i, j, dist FROM e{k}, b{k} WHERE i NOT IN (a, b) AND j NOT IN (a, b) UNION ALL SELECT v, {new}, (na * coalesce(max(dist) FILTER (at_a), {psi}) + nb * coalesce(max(dist) FILTER (NOT at_a), {psi})) / (na + nb) FROM x{k} GROUP BY v, na, nb)",
+        ]
+    union = " UNION ALL ".join(f"SELECT a, b, h, CAST({top + k + 1} AS BIGINT), CAST({k + 1} AS BIGINT) FROM b{k}" for k in range(merges))
+    return ", ".join(parts) + f", forest(c1, c2, height, merged, merge_no) AS ({union})"
+
+
 ADJ = f"WITH {Z}, {boost_sql()}, adj AS MATERIALIZED (SELECT i, j, pow(abs(corr(a.value, b.value)), 3) AS adj FROM filt JOIN e a ON a.feature_id = i JOIN e b ON b.feature_id = j AND b.sample_id = a.sample_id GROUP BY 1, 2), nbr AS MATERIALIZED (SELECT i AS u, j AS v, adj AS a FROM adj UNION ALL SELECT j, i, adj FROM adj), k AS (SELECT u, sum(a) AS k, count(*) AS degree FROM nbr GROUP BY 1)"
+TOM = "sh AS (SELECT i, j, sum(p.a * q.a) AS s FROM adj JOIN nbr p ON p.u = i JOIN nbr q ON q.u = j AND q.v = p.v GROUP BY 1, 2), tom AS MATERIALIZED (SELECT adj.i, adj.j, 1 - (coalesce(s, 0) + adj) / (least(x.k, y.k) + 1 - adj) AS dist FROM adj LEFT JOIN sh ON sh.i = adj.i AND sh.j = adj.j JOIN k x ON x.u = adj.i JOIN k y ON y.u = adj.j)"
 PC = f"WITH {E}, c AS (SELECT (a.feature_id + 1) // 2 AS module, corr(a.value, b.value) AS r FROM e a JOIN e b ON a.sample_id = b.sample_id AND b.feature_id = a.feature_id + 1 WHERE a.feature_id % 2 = 1 GROUP BY 1), v AS (SELECT module, CAST(1 AS BIGINT) AS pc, (1 + abs(r)) / 2 AS share FROM c UNION ALL SELECT module, 2, (1 - abs(r)) / 2 FROM c)"
 HOURS = "hours AS (SELECT epoch(date_trunc('hour', ts)) AS h, event_type FROM events), kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS feature_id FROM (SELECT DISTINCT event_type FROM hours)), e AS (SELECT h AS sample_id, feature_id, CAST((SELECT count(*) FROM hours x WHERE x.h = hh.h AND x.event_type = kk.event_type) AS DOUBLE) AS value FROM (SELECT DISTINCT h FROM hours) hh CROSS JOIN kinds kk)"
 MEANS = f"{Z}, means AS (SELECT (feature_id - 1) // 8 + 1 AS module, sample_id, avg(value) AS value FROM z GROUP BY 1, 2)"
@@ -490,7 +499,8 @@ SQL: dict[str, str] = {
     "q_adjacency": f"{ADJ} SELECT i, j, {R.format('adj * 1000')} AS adj_milli FROM adj",
     "q_strength": f"{ADJ} SELECT u, {R.format('k')} AS k, degree FROM k",
     "q_common_neighbours": f"{ADJ} SELECT i, j, count(*) AS n_common FROM adj JOIN nbr p ON p.u = i JOIN nbr q ON q.u = j AND q.v = p.v GROUP BY 1, 2",
-    "q_tom_dist": f"{ADJ}, sh AS (SELECT i, j, sum(p.a * q.a) AS s FROM adj JOIN nbr p ON p.u = i JOIN nbr q ON q.u = j AND q.v = p.v GROUP BY 1, 2) SELECT adj.i, adj.j, {R.format('1 - (coalesce(s, 0) + adj) / (least(x.k, y.k) + 1 - adj)')} AS dist FROM adj LEFT JOIN sh ON sh.i = adj.i AND sh.j = adj.j JOIN k x ON x.u = adj.i JOIN k y ON y.u = adj.j",
+    "q_tom_dist": f"{ADJ}, {TOM} SELECT i, j, {R.format('dist')} AS dist FROM tom",
+    "q_upgma_matrix": f"{ADJ}, {TOM}, {upgma_sql('tom', 64, 63)} SELECT c1, c2, {R.format('height')} AS height, merged, merge_no FROM forest",
     "q_top_m_edges": f"WITH {E}, {PAIRS.format(op='<')} SELECT i, j, {R.format('round(1 - abs(corr), 9)')} AS dist FROM pairs ORDER BY round(1 - abs(corr), 9), i, j LIMIT 500",
     "q_soft_power_table": f"WITH {E}, {PAIRS.format(op='<')}, bth AS (SELECT i, corr FROM pairs UNION ALL SELECT j, corr FROM pairs), k AS (SELECT CAST(p AS BIGINT) AS power, i, sum(pow(abs(corr), p)) AS k FROM bth CROSS JOIN (VALUES {POWERS_SQL}) t(p) GROUP BY 1, 2), b AS (SELECT *, min(k) OVER w AS lo, max(k) OVER w AS hi, count(*) OVER w AS n, avg(k) OVER w AS mean_k FROM k WINDOW w AS (PARTITION BY power)), c AS (SELECT power, k, n, mean_k, coalesce(least(9, floor((k - lo) / nullif((hi - lo) / 10, 0))), 0) AS bin FROM b), pt AS (SELECT power, bin, log10(avg(k)) AS x, log10(count(*) / max(n)) AS y, max(mean_k) AS mean_k FROM c GROUP BY 1, 2) SELECT power, {R.format('regr_r2(y, x)')} AS r2, {R.format('regr_slope(y, x)')} AS slope, {R.format('-sign(regr_slope(y, x)) * regr_r2(y, x)')} AS signed_r2, {R.format('max(mean_k)')} AS mean_k FROM pt GROUP BY 1",
     "q_edge_validate": f"WITH l AS (SELECT CAST(line AS BIGINT) AS line, content, regexp_matches(content, '^\\s*\\d+\\s+\\d+\\s+[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$') AS ok FROM (VALUES {_rows(enumerate(LINES, 1))}) t(line, content)), p AS (SELECT *, TRY_CAST(split_part(content, ' ', 1) AS BIGINT) AS a, TRY_CAST(split_part(content, ' ', 2) AS BIGINT) AS b FROM l), q AS (SELECT line, CASE WHEN NOT ok THEN 'format' WHEN a = 0 OR b = 0 THEN 'zero id' WHEN a = b THEN 'self edge' WHEN line > min(CASE WHEN ok THEN line END) OVER (PARTITION BY least(a, b), greatest(a, b)) THEN 'duplicate' END AS problem FROM p) SELECT line, problem FROM q WHERE problem IS NOT NULL",
