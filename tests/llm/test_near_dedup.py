@@ -77,3 +77,24 @@ def test_registers_merge_and_estimate():
     assert (N.merge(ra, rb) == N.registers(np.union1d(a, b))).all()
     j = N.estimate(np.array([(ra < rb).sum()]), np.array([(ra == rb).sum()]), np.array([(ra > rb).sum()]), np.array([900.0]), np.array([900.0]))
     assert abs(j[0] - 0.8) < 0.12
+
+
+def test_torn_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in range(80)]
+    rows = []
+    for k in range(130):  # similarities between copies lie around the threshold
+        text = list(base)
+        for at in rng.integers(0, 80, 3 + k % 5):
+            text[int(at)] = f"n{rng.integers(10**9)}" if k % 3 else f"m{at}"
+        rows.append((k, " ".join(text)))
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert order(tuple(r) for r in got) == order(brute(rows, 2))
+
+
+def test_intersections(monkeypatch):
+    monkeypatch.setattr(N, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(rng.integers(0, 60, n, dtype=np.uint64)) for n in (1, 5, 40, 90)] for _ in range(2))
+    assert (N.intersections(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()

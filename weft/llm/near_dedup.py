@@ -9,18 +9,20 @@ likelihood estimate of the Jaccard similarity from the counts of smaller,
 equal and larger registers, and the survivors are verified on the full sets,
 so no link is below the threshold.
 
-Hot groups: equal sets collapse to one representative before banding; within
-a band bucket members are compared with the bucket's smallest member (a star,
-linear in the bucket), members already connected are never compared again,
-and only what stays unconnected after the star rounds is compared pair by
-pair, so nothing is capped or dropped.
+Hot groups: equal sets collapse to one representative before banding. A band
+bucket's members are first compared with its most central member, the one that
+meets most others over all bands (a star, linear in the bucket). Where members
+stay unconnected, the bucket is cut into blocks: those outside its largest
+connected part meet all others, block by block, by exact intersections inside
+a task. Such a unit returns at most one edge a member, never pairs, so nothing
+is capped or dropped and no output grows with the square of a group.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -155,9 +157,107 @@ def _verified(num: int, den: int):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, star_rounds: int = 3
-) -> DataFrame:
+#: Members to a block of a torn bucket, and columns of an intersection that are held at a time.
+BLOCK, COLUMNS = 512, 1 << 14
+
+
+def _held(batch: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
+    """(sets, shared items) indicator of which set has which item."""
+    out = np.zeros((len(batch), len(shared)), np.float32)
+    for row, items in enumerate(batch):
+        at = np.searchsorted(shared, items)
+        at[at == len(shared)] = 0
+        out[row, at[shared[at] == items]] = 1
+    return out
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets a with sets b, in bounded memory."""
+    total = np.zeros((len(a), len(b)), np.int64)
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    for k in range(0, len(shared), COLUMNS):
+        part = shared[k : k + COLUMNS]
+        lo, hi = part[0], part[-1]
+        cut = lambda x: x[np.searchsorted(x, lo) : np.searchsorted(x, hi, side="right")]  # noqa: E731, B023
+        total += np.rint(_held([cut(x) for x in a], part) @ _held([cut(x) for x in b], part).T).astype(np.int64)
+    return total
+
+
+def _unit_edges(unit: pd.DataFrame, num: int, den: int) -> pd.DataFrame | None:
+    """One edge for each member of a unit that is linked with another part of the graph."""
+    side = unit["side"].to_numpy()
+    a = unit[side == 0]
+    b = unit[side == 1] if (side == 1).any() else a
+    if not len(a) or not len(b):
+        return None
+    sketch = lambda x: np.frombuffer(b"".join(x["sketch"]), np.uint16).reshape(-1, REGISTERS)
+    na, nb = a["n"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
+    may = (den * np.minimum(na[:, None], nb) >= num * np.maximum(na[:, None], nb)) & (a["comp"].to_numpy()[:, None] != b["comp"].to_numpy())
+    if not may.any():
+        return None
+    sa, sb = sketch(a), sketch(b)
+    least = (num / den - SLACK) * REGISTERS
+    for k in range(len(a)):
+        own = np.flatnonzero(may[k])
+        may[k, own] = (sb[own] == sa[k]).sum(axis=1) >= least
+    x, y = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+    if not len(x):
+        return None
+    sets = lambda t, rows: [np.frombuffer(t["items"].iloc[int(k)], np.uint64) for k in rows]
+    both = intersections(sets(a, x), sets(b, y))
+    linked = may[np.ix_(x, y)] & (den * both >= num * (na[x][:, None] + nb[y] - both))
+    rows, cols = np.nonzero(linked)
+    if not len(rows):
+        return None
+    ra, rb = a["rep"].to_numpy()[x], b["rep"].to_numpy()[y]
+    edges = pd.DataFrame({"a": ra[rows], "b": rb[cols], "ca": a["comp"].to_numpy()[x][rows], "cb": b["comp"].to_numpy()[y][cols]})
+    # Members of one part are connected already: an edge for each pair of parts will do, thinned to a forest.
+    edges = edges.drop_duplicates(["ca", "cb"])
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    keep = []
+    for p, q in zip(edges["ca"], edges["cb"], strict=True):
+        p, q = root(p), root(q)
+        keep.append(p != q)
+        parent[p] = q
+    return edges.loc[keep, ["a", "b"]]
+
+
+def _units(num: int, den: int):
+    """Rows sorted by unit (key, x, y); a unit may span batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key, x, y = (pdf[c].to_numpy() for c in ("key", "x", "y"))
+            cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist(), len(pdf)]
+            if held and (held[0]["key"].iloc[0], held[0]["x"].iloc[0], held[0]["y"].iloc[0]) != (key[0], x[0], y[0]):
+                if (got := _unit_edges(pd.concat(held), num, den)) is not None:
+                    yield got
+                held = []
+            for s, e in pairwise(cuts):
+                part = pdf.iloc[s:e]
+                if e == len(pdf):
+                    held.append(part)
+                else:
+                    if (got := _unit_edges(pd.concat([*held, part]) if held else part, num, den)) is not None:
+                        yield got
+                    held = []
+        if held and (got := _unit_edges(pd.concat(held), num, den)) is not None:
+            yield got
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
     Rows are linked when den * |A n B| >= num * |A u B|. component_id is the
@@ -176,67 +276,72 @@ def near_duplicates(
     classes = materialise(named.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = named.join(classes, "digest").where("id = rep").select("rep", "n", "sketch", "keys").dropDuplicates(["rep"])
     banded = materialise(reps.select("rep", F.explode("keys").alias("key")), "banded")
-    multi = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
-    active = materialise(banded.join(multi, "key"), "active")
+    full = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    met = materialise(banded.join(full, "key").select("key", "rep", "m"), "met")
+    discard(banded)
+    degree = met.groupBy("rep").agg(F.sum("m").alias("degree"))
+    central = F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("leader")
+    members = met.join(degree, "rep").select("key", "rep", "m", "degree")
+    active = materialise(members.join(members.groupBy("key").agg(central), "key").where("rep <> leader"), "active")
     near = materialise(
-        reps.join(active.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("n").cast("double").alias("n"), "sketch"), "near"
+        reps.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("n").cast("double").alias("n"), "sketch"), "near"
     )
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are linked, verified on full sets."""
-        left = near.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = near.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        sized = pairs.join(left.drop("sa"), "a").join(right.drop("sb"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-        likely = materialise(
-            sized.join(left.select("a", "sa"), "a").join(right.select("b", "sb"), "b").mapInPandas(_likely(num / den), "a long, b long"), "likely"
-        )
-        ids = materialise(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "ids")
+    def with_sets(ids: DataFrame) -> DataFrame:
+        """(rep, items) of some documents, made from their texts again."""
+        ids = materialise(ids.distinct(), "ids")
         wanted = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
         texts = plain.select(F.col("id").alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-        sets = materialise(texts.mapInPandas(_sets(shingle), "rep long, items binary"), "sets")
-        found = materialise(
-            likely.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("xa")), "a")
-            .join(sets.select(F.col("rep").alias("b"), F.col("items").alias("xb")), "b")
-            .mapInPandas(_verified(num, den), "a long, b long"),
-            "links",
-        )
-        for t in (sets, ids, likely):
-            discard(t)
-        return found
-
-    found: list[DataFrame] = []
-    pairs = active.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    labels = None
-    for turn in range(star_rounds + 1):
-        found.append(links(pairs))
-        discard(labels)
-        labels = connected_components(reduce(DataFrame.unionByName, found), "a", "b")
-        if turn == star_rounds:
-            break
-        # The leader has met all of its bucket; go on where the rest isn't connected yet.
-        rest = active.where("rep <> leader").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("comp")
-        )
-        rest = materialise(rest, "rest")
-        torn = (
-            rest.groupBy("key")
-            .agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.min(F.struct("rep", "comp")).alias("head"))
-            .where("p < q")
-            .select("key", F.col("head.rep").alias("leader"), F.col("head.comp").alias("lead_comp"))
-        )
-        discard(active)
-        active = materialise(rest.join(torn, "key"), "active")
-        discard(rest)
-        if active.isEmpty():
-            break
-        if turn + 1 < star_rounds:
-            pairs = active.where("comp <> lead_comp").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        else:
-            x, y = active.alias("x"), active.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))).select(
-                F.col("x.rep").alias("a"), F.col("y.rep").alias("b")
-            )
-        pairs = pairs.distinct()
+        return materialise(texts.mapInPandas(_sets(shingle), "rep long, items binary"), "sets")
+
+    # The star: every member against the centre of each of its buckets.
+    left = near.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = near.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    pairs = active.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    sized = pairs.join(left.drop("sa"), "a").join(right.drop("sb"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+    likely = materialise(
+        sized.join(left.select("a", "sa"), "a").join(right.select("b", "sb"), "b").mapInPandas(_likely(num / den), "a long, b long"), "likely"
+    )
+    sets = with_sets(likely.select(F.col("a").alias("rep")).union(likely.select("b")))
+    star = materialise(
+        likely.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("xa")), "a")
+        .join(sets.select(F.col("rep").alias("b"), F.col("items").alias("xb")), "b")
+        .mapInPandas(_verified(num, den), "a long, b long"),
+        "links",
+    )
+    labels = connected_components(star, "a", "b")
+    for t in (sets, likely):
+        discard(t)
+
+    # What the star leaves apart: in each bucket, members outside its largest part meet all others but the centre.
+    rest = materialise(
+        active.where("m > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "rest"
+    )
+    parts = rest.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    torn = parts.groupBy("key").agg(F.max_by(F.struct("comp", "c"), F.struct("c", -F.col("comp"))).alias("main"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda x: F.ceil(x / F.lit(BLOCK)).cast("int")
+    torn = torn.select("key", F.col("main.comp").alias("main"), blocks(F.col("main.c")).alias("mains"), blocks(F.col("all") - F.col("main.c")).alias("others"))
+    placed = rest.join(torn, "key").withColumn("outside", F.col("comp") != F.col("main"))
+    placed = placed.withColumn("block", F.expr("cast(pmod(xxhash64(rep), if(outside, others, mains)) as int)"))
+    # Unit (x, y): block x outside against main block y, or against block y - mains outside, x or a later one.
+    units = F.expr(
+        "if(outside,"
+        " concat(transform(sequence(0, mains + others - 1), y -> struct(block as x, y as y, 0 as side)),"
+        "  transform(sequence(0, block), x -> struct(x as x, mains + block as y, 1 as side))),"
+        " transform(sequence(0, others - 1), x -> struct(x as x, block as y, 1 as side)))"
+    )
+    # Of units within the outside, those with y - mains below x are the same pairs again, and the diagonal needs its rows once.
+    dealt = placed.select("key", "rep", "comp", "mains", F.explode(units).alias("u")).select("key", "rep", "comp", "mains", "u.*")
+    dealt = dealt.where("y < mains or y - mains > x or (y - mains = x and side = 0)")
+    wanted = materialise(dealt.drop("mains"), "dealt")
+    sets = with_sets(wanted.select("rep"))
+    carried = wanted.join(near, "rep").join(sets, "rep").select("key", "x", "y", "side", "rep", "comp", F.col("n").cast("long").alias("n"), "sketch", "items")
+    sent = carried.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    more = materialise(sent.mapInPandas(_units(num, den), "a long, b long"), "links")
+    if not more.isEmpty():
+        labels = connected_components(star.unionByName(more), "a", "b")
+    for t in (sets, wanted, rest, active, met):
+        discard(t)
 
     members = sig.select("id", "n", "digest").join(classes, "digest", "left")
     return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
