@@ -1,6 +1,7 @@
 """Toxicity classifier with counterfactual regularisation.
 
-Logistic regression over the presence of words and word beginnings. Labelled
+Logistic regression over the presence of words, word beginnings, and beginnings
+that several words share. Labelled
 sentences with an identity term are paired with copies that name another
 group instead, and training penalises the squared change of the score between
 the two, so that neutral mentions of a group don't raise it. Presence, not
@@ -35,7 +36,14 @@ _words = re.compile(r"\w+").findall
 
 
 def features(words: set[str]) -> set[str]:
-    return words.union(*({w[:n] + "-" for w in words if len(w) >= n} for n in BEGINNINGS))
+    """Words, beginnings ("abcd-"), and beginnings of two words or more ("abcd--")."""
+    out = set(words)
+    for n in BEGINNINGS:
+        for p, k in Counter(w[:n] for w in words if len(w) >= n).items():
+            out.add(p + "-")
+            if k > 1:
+                out.add(p + "--")
+    return out
 
 
 def words_of(text: str | None) -> set[str]:
@@ -46,7 +54,7 @@ def _matrix(bags: list[set[str]], index: dict[str, int]) -> list[np.ndarray]:
     return [np.array(sorted(index[f] for f in features(b) if f in index), np.int64) for b in bags]
 
 
-def train(texts: list[str | None], y: np.ndarray, identity=IDENTITY, penalty: float = 2.0, epochs: int = 12, rate: float = 0.3, shrink: float = 6e-4, seed: int = 11) -> tuple[dict[str, float], float]:
+def train(texts: list[str | None], y: np.ndarray, identity=IDENTITY, penalty: float = 2.0, epochs: int = 12, rate: float = 0.3, shrink: float = 1.2e-3, seed: int = 11) -> tuple[dict[str, float], float]:
     """Weights of features and the bias."""
     rng = np.random.default_rng(seed)
     bags = [words_of(t) for t in texts]
@@ -77,7 +85,7 @@ def train(texts: list[str | None], y: np.ndarray, identity=IDENTITY, penalty: fl
         for i in rng.permutation(len(rows)):
             x, lr = rows[i], rate * (1 - steps / total)
             steps += 1
-            g = weight[int(y[i])] ** 0.5 * (1 / (1 + np.exp(-np.clip(bias + w[x].sum(), -40, 40))) - y[i])
+            g = weight[int(y[i])] ** 0.9 * (1 / (1 + np.exp(-np.clip(bias + w[x].sum(), -40, 40))) - y[i])
             w[x] -= lr * g
             bias -= lr * 0.1 * g
             if i in twins:
@@ -97,7 +105,11 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float):
         self.bias = bias
         self.whole = {f: w for f, w in weights.items() if not f.endswith("-")}
-        self.begin = {n: {f[:-1]: w for f, w in weights.items() if f.endswith("-") and len(f) == n + 1} for n in BEGINNINGS}
+        # Beginnings by length: the weight of one word, and of two or more.
+        self.begin: dict[int, dict[str, tuple[float, float]]] = {n: {} for n in BEGINNINGS}
+        for p in {f.rstrip("-") for f in weights if f.endswith("-")}:
+            one = weights.get(p + "-", 0.0)
+            self.begin[len(p)][p] = (one, one + weights.get(p + "--", 0.0))
 
     def scores(self, texts) -> np.ndarray:
         out = []
@@ -105,7 +117,9 @@ class Model:
             words = words_of(text)
             z = self.bias + sum(map(self.whole.__getitem__, sorted(self.whole.keys() & words)))
             for n, known in self.begin.items():
-                z += sum(map(known.__getitem__, sorted(known.keys() & {w[:n] for w in words})))
+                starts = Counter([w[:n] for w in words])
+                for p in sorted(known.keys() & starts.keys()):
+                    z += known[p][starts[p] > 1]
             out.append(z)
         return 1 / (1 + np.exp(-np.clip(np.array(out, float), -40, 40)))
 
