@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -57,11 +58,15 @@ def _matrix(bags: list[set[str]], index: dict[str, int]) -> list[np.ndarray]:
 def train(texts: list[str | None], y: np.ndarray, identity=IDENTITY, penalty: float = 2.0, epochs: int = 12, rate: float = 0.3, shrink: float = 1.2e-3, seed: int = 11) -> tuple[dict[str, float], float]:
     """Weights of features and the bias."""
     rng = np.random.default_rng(seed)
-    bags = [words_of(t) for t in texts]
+    bags = [set(map(intern, words_of(t))) for t in texts]
     groups = {w for w in identity if any(w in b for b in bags)} if bags else set()
     kind = [Counter(), Counter()]
+    seen = np.zeros(1 << 22, np.uint8)  # a first count by hash, at least the true one, so that rare features take no memory
+    for b in bags:
+        at = np.fromiter(map(hash, features(b)), np.int64) & (len(seen) - 1)
+        seen[at] = np.minimum(seen[at] + 1, 100)
     for b, k in zip(bags, y, strict=True):
-        kind[k].update(features(b))
+        kind[k].update(f for f in features(b) if seen[hash(f) & (len(seen) - 1)] >= 3)
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
     gain: dict[str, float] = {}
     for f in kind[0].keys() | kind[1].keys():
@@ -71,6 +76,7 @@ def train(texts: list[str | None], y: np.ndarray, identity=IDENTITY, penalty: fl
             gain[f] = abs(p - q) * abs(np.log(p / q))
     kept = sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES]
     index = {f: i for i, f in enumerate(dict.fromkeys([*kept, *(g for w in sorted(groups) for g in sorted(features({w})))]))}
+    del kind, gain
     rows = _matrix(bags, index)
     twins: dict[int, np.ndarray] = {}
     terms = sorted(groups | set(identity))
