@@ -77,6 +77,13 @@ def test_certain_merges_are_a_prefix(seed, m):
         assert g[:2] == w[:2] and g[2] == pytest.approx(w[2])
 
 
+def test_relaxed_rounds_merge_at_least_as_much():
+    for seed in range(40):
+        rows = sorted(graph(seed, 20, 0.4), key=lambda r: r[2])
+        strict, loose = (list(U.cluster_certain(rows[:25], True, 1.0, 21, {}, relaxed)) for relaxed in (False, True))
+        assert len(loose) >= len(strict) and loose[: len(strict)] == strict
+
+
 @pytest.mark.parametrize("method", METHODS)
 def test_methods_agree(spark, method):
     rows = graph(11, 22, 0.12)

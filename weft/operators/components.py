@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weft.storage import discard, materialise
@@ -19,8 +19,8 @@ def connected_components(edges: DataFrame, a: str = "i", b: str = "j", max_round
     appear. Self edges and nulls are ignored; an empty table gives an empty
     result.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    both = materialise(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    both = materialise(ends.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct(), "edges")
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     for _ in range(max_rounds):
         near = (
@@ -32,14 +32,13 @@ def connected_components(edges: DataFrame, a: str = "i", b: str = "j", max_round
             "node", F.col("component").alias("before"), F.least("component", "near").alias("now")
         )
         roots = labels.select(F.col("node").alias("now"), F.col("component").alias("jump"))
-        after = materialise(
-            stepped.join(roots, "now", "left").select("node", "before", F.least("now", F.coalesce("jump", "now")).alias("component")),
-            "labels",
-        )
+        seen = Observation()
+        jumped = stepped.join(roots, "now", "left").select("node", "before", F.least("now", F.coalesce("jump", "now")).alias("component"))
+        after = materialise(jumped.observe(seen, F.count(F.when(F.col("component") != F.col("before"), 1)).alias("changed")), "labels")
         discard(labels)
         labels = after.select("node", "component")
         labels._weft_path = after._weft_path
-        if after.where("component <> before").isEmpty():
+        if not seen.get.get("changed"):
             break
     else:
         raise RuntimeError("connected components did not settle")

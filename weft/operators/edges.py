@@ -74,6 +74,6 @@ def thicken(collated: DataFrame, sizes: DataFrame, psi: float) -> DataFrame:
     return out.select("i", "j", (((pairs - F.col("w")) * psi + F.col("sum_d")) / pairs).alias("dist"))
 
 
-def top_edges(edges: DataFrame, m: int) -> DataFrame:
-    """The m smallest edges, by (dist, i, j)."""
-    return edges.orderBy("dist", "i", "j").limit(m)
+def top_edges(edges: DataFrame, m: int, in_order: bool = False) -> DataFrame:
+    """The m smallest edges, by (dist, i, j); the first m of edges that are in order already."""
+    return (edges if in_order else edges.orderBy("dist", "i", "j")).limit(m)

@@ -72,11 +72,13 @@ def cluster(rows: Iterable[tuple[int, int, float]], psi: float, first_id: int, r
         new += 1
 
 
-def cluster_certain(rows: list[tuple[int, int, float]], full: bool, psi: float, first_id: int, sizes: dict[int, int]) -> Iterator[tuple[int, int, float, int]]:
+def cluster_certain(rows: list[tuple[int, int, float]], full: bool, psi: float, first_id: int, sizes: dict[int, int], relaxed: bool = False) -> Iterator[tuple[int, int, float, int]]:
     """The merges that are certain while pairs that aren't loaded may lie anywhere from lambda to psi.
 
     full: whether edges were left out, so that lambda is the largest loaded
-    distance; otherwise nothing is unknown and lambda is psi.
+    distance; otherwise nothing is unknown and lambda is psi. relaxed: go on
+    while at most one other pair may be nearer; the result is then no
+    dendrogram and its heights are upper bounds.
     """
     lam = max(d for _, _, d in rows) if full else psi
     near: dict[int, dict[int, tuple[float, float]]] = defaultdict(dict)
@@ -103,7 +105,14 @@ def cluster_certain(rows: list[tuple[int, int, float]], full: bool, psi: float,
         a, b = -low, -high
         lb = near[a][b][0]
         least = top(lower, 0)
-        if ub > lam or lb != ub or least[0] < ub:
+        if relaxed and least[0] < ub and least[1:] != best[1:]:
+            aside = heapq.heappop(lower)
+            second = top(lower, 0)
+            heapq.heappush(lower, aside)
+            uncertain = second is not None and second[0] < ub and second[1:] != best[1:]
+        else:
+            uncertain = not relaxed and (lb != ub or least[0] < ub)
+        if ub > lam or uncertain:
             return
         na, nb = near.pop(a), near.pop(b)
         del na[b], nb[a]
@@ -199,8 +208,8 @@ def upgma(edges: DataFrame, psi: float = 1.0, singletons: int | None = None, rul
     return _forest(edges.sparkSession, numbered(merges, n + 1))
 
 
-def upgma_rounds(edges: DataFrame, psi: float = 1.0, singletons: int | None = None, m: int = 10_000_000, iterations: int = 1000) -> DataFrame:
-    """The same forest with at most m edges loaded at a time."""
+def upgma_rounds(edges: DataFrame, psi: float = 1.0, singletons: int | None = None, m: int = 10_000_000, iterations: int = 1000, relaxed: bool = False) -> DataFrame:
+    """The same forest with at most m edges loaded at a time; see cluster_certain for relaxed."""
     if m <= 0 or iterations <= 0:
         raise ValueError("m and iterations must be above 0")
     spark = edges.sparkSession
@@ -212,7 +221,7 @@ def upgma_rounds(edges: DataFrame, psi: float = 1.0, singletons: int | None = No
         if not loaded:
             return _forest(spark, rows)
         full = len(loaded) == m and now.count() > m
-        part = list(cluster_certain(loaded, full, psi, n + 1 + len(rows), size))
+        part = list(cluster_certain(loaded, full, psi, n + 1 + len(rows), size, relaxed))
         if not part:
             raise RuntimeError("a round merged nothing")
         before = spark.createDataFrame([(k, v) for k, v in size.items()], "id long, size long")

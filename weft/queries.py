@@ -352,6 +352,11 @@ def q_summary_stats(spark, sf_dir):
     return s.select("n_modules", "n_background", r6("mean_size", "mean_size"), "n_unassigned", r6("pct_unassigned", "pct_unassigned"))
 
 
+def q_colour_ranks(spark, sf_dir):
+    m = _label_modules(spark, sf_dir)
+    return summary.colour_ranks(summary.renumbered(m, summary.numbering(m))).select("module", F.col("rank").cast("long").alias("rank"))
+
+
 def q_me_labels(spark, sf_dir):
     n = summary.numbering(_label_modules(spark, sf_dir)).select("number", summary.label("number", F.lit(2)).alias("label"))
     module, pc = summary.parsed("label")
@@ -525,6 +530,7 @@ SQL: dict[str, str] = {
     "q_module_sizes": f"WITH {LABELS} SELECT module, count(*) AS size FROM mods GROUP BY 1",
     "q_module_numbering": f"WITH {NUMBERS} SELECT tree_id, module, number FROM num",
     "q_summary_stats": f"WITH {NUMBERS}, s AS (SELECT number, count(*) AS size FROM mods JOIN num USING (tree_id, module) GROUP BY 1) SELECT count(*) FILTER (number > 0) AS n_modules, count(*) FILTER (number <= 0) AS n_background, {R.format('avg(size) FILTER (number > 0)')} AS mean_size, CAST(coalesce(sum(size) FILTER (number <= 0), 0) AS BIGINT) AS n_unassigned, {R.format('coalesce(sum(size) FILTER (number <= 0), 0) * 100.0 / sum(size)')} AS pct_unassigned FROM s",
+    "q_colour_ranks": f"WITH {NUMBERS}, k AS (SELECT number AS module, row_number() OVER (ORDER BY number) - 1 AS k, count(*) OVER () AS n FROM num WHERE number > 0) SELECT module, CAST(CASE WHEN k < ceil(n / 2) THEN k * 2 ELSE (k - ceil(n / 2)) * 2 + 1 END AS BIGINT) AS rank FROM k",
     "q_me_labels": f"WITH {NUMBERS} SELECT number, CASE WHEN number > 0 THEN 'ME' || number || '_pc2' ELSE 'ME0_' || -number || '_pc2' END AS label, number AS module, CAST(2 AS INTEGER) AS pc FROM num",
     "q_pc_var_explained": f"{PC} SELECT module, pc, {R.format('share')} AS share FROM v",
     "q_pc_scores": f"WITH {Z}, c AS (SELECT (a.feature_id + 1) // 2 AS module, a.sample_id, a.value AS x, b.value AS y FROM z a JOIN z b ON a.sample_id = b.sample_id AND b.feature_id = a.feature_id + 1 WHERE a.feature_id % 2 = 1), s AS (SELECT *, x + sign(corr(x, y) OVER (PARTITION BY module)) * y AS t FROM c) SELECT module, sample_id, {R.format('t * t / sum(t * t) OVER (PARTITION BY module) * 1000')} AS square_milli FROM s",
