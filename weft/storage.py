@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +30,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch to a Python worker while a table is written; texts and sketches are wide.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Batches to Python workers hold at most so many rows in here; the session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return the written table."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_arrow_batches(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._weft_path = path
     return table
