@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word separators of the token contracts: space and \x09-\x0D, as bytes.split() has them.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -24,7 +27,7 @@ def remainder(column: str, n: int) -> Column:
 
 
 def words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8; bytes.split() has the same separators."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
@@ -39,8 +42,17 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system, so that idle workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def small_batches(batches: Iterator[pd.DataFrame], most: int = 256) -> Iterator[pd.DataFrame]:
     """Slices of at most so many rows, to bound what a Python worker builds at once."""
     for pdf in batches:
         for k in range(0, len(pdf), most):
             yield pdf.iloc[k : k + most]
+    give_back()

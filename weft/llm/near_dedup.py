@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import MIX, hashes, scramble, small_batches, words
+from weft.llm.common import MIX, give_back, hashes, scramble, small_batches, words
 from weft.operators.components import connected_components
 from weft.storage import discard, materialise
 
@@ -253,6 +253,8 @@ def _units(num: int, den: int):
                     held = []
         if held and (got := _unit_edges(pd.concat(held), num, den)) is not None:
             yield got
+        held.clear()
+        give_back()
 
     return run
 
