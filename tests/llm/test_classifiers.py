@@ -65,3 +65,14 @@ def test_swapped_copies_lower_the_weight_of_identity_terms():
         raised[penalty] = np.mean([score(g, "the", "of") - score("the", "of") for g in IDENTITY[:8]])
         assert score("idiot", "the", "of") > score("the", "of") + 1
     assert raised[2.0] < 0.5 * raised[0.0]
+
+
+def test_sample_is_bounded(spark):
+    from weft.llm.quality import labelled
+
+    docs = spark.createDataFrame([(k, "x" * (10 if k % 2 else 1000)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got = labelled(docs, labels, "doc_id", "text", "quality", 5, 0, 1000, 3000)
+    assert 0 < sum(map(len, got["text"])) <= 3000 and set(map(len, got["text"])) <= {10, 1000}
+    assert len(labelled(docs, labels, "doc_id", "text", "quality", 5, 0, 7)) == 7
+    assert len(labelled(docs, labels, "doc_id", "text", "quality", 5, 0, 1000)) > 20

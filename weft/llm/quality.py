@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import remainder, small_batches
+from weft.storage import materialise
 
 #: Buckets of words and of character n-grams, length of a vector, n-gram lengths in bytes.
 WORD_BUCKETS, GRAM_BUCKETS, DIM, GRAMS = 1 << 16, 1 << 17, 8, (3, 4)
 BUCKETS = WORD_BUCKETS + GRAM_BUCKETS + 2
 #: The most labelled rows that are learned from, chosen by a hash of their id.
 SAMPLE = 4000
+#: The most bytes of their texts; whole texts that would go beyond are passed over.
+SAMPLE_BYTES = 64 << 20
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -84,13 +87,20 @@ def _scorer(model):
     return run
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_fold: int, sample: int) -> pd.DataFrame:
-    """At most ``sample`` labelled rows (text, y) outside the held-out fold, by a hash of their id."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_fold: int, sample: int, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """At most ``sample`` labelled rows (text, y) and ``most_bytes`` of text outside the held-out fold, by a hash of their id."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     known = known.where(remainder("id", folds) != held_fold).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = plain.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "text", "y").toPandas()  # at most `sample` rows
-    return rows.sort_values("id", ignore_index=True)
+    found = plain.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "text", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("id").alias("h"))
+    table = materialise(found, "sample")
+    chosen, total = [], 0
+    for r in sorted(table.select("h", "id", "size").collect()):  # at most `sample` rows
+        if total + r["size"] <= most_bytes:
+            chosen.append(r.id)
+            total += r["size"]
+    rows = table.where(F.col("id").isin(chosen)) if len(chosen) < table.count() else table
+    return rows.select("id", "text", "y").toPandas().sort_values("id", ignore_index=True)
 
 
 def quality_scores(
