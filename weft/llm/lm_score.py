@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import MIX, hashes, remainder, scramble, words
+from weft.llm.common import MIX, give_back, hashes, remainder, scramble, words
 from weft.storage import materialise
 
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"")), np.uint64(0x5EED)
 BITS_PER_ENTRY, PROBES = 14, 10
 #: Tokens of the corpus to a segment; bounds what one group holds.
-SEGMENT_TOKENS = 4_000_000
+SEGMENT_TOKENS = 2_000_000
 #: Bytes of text whose documents are handled together.
 CHUNK_BYTES = 8 << 20
 MU = 32.0
@@ -138,6 +138,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield row()
     if ids:
         yield row()
+    give_back()
 
 
 _CHUNK = "chunk long, ids binary, there binary, held binary, lens binary, tokens binary, vocab binary, n long"
@@ -217,6 +218,7 @@ def _distinct_bigrams(segments: int, train_only: bool):
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    give_back()
     fp = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["fps"]])
     counts = np.concatenate([_unpack(x, np.uint32) for x in pdf["counts"]])
     fp, where = np.unique(fp, return_inverse=True)
@@ -244,6 +246,7 @@ _held: dict[str, Filter] = {}
 
 def _scores(segments: int, total: int, distinct: int, mu: float, filters, token: str):
     def run(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         r = next(chunk.itertuples())
         vocab, tokens, lens = np.frombuffer(r.vocab, np.uint64), _unpack(r.tokens, np.uint32), np.frombuffer(r.lens, np.int64)
         seg = _unigrams(vocab, segments)
