@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -94,54 +95,75 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         least = now
 
 
-def _unit_rows(rows: pd.DataFrame, kind: str, least: float) -> pd.DataFrame | None:
-    """A unit's members that gain links: their new links, and the least member they reach."""
-    if len(rows) < 2:
-        return None
-    rows = rows.sort_values("rep", kind="stable").drop_duplicates("digest")
-    first = rows.iloc[0]
-    rows = rows[(rows["label"] == first["label"]) & (rows["dim"] == first["dim"])]  # else keys collide by chance
-    x = unit(np.frombuffer(b"".join(rows["vec"]), kind).astype(np.float64).reshape(len(rows), -1))
-    side = rows["block"].to_numpy()
-    a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
-    if first["b1"] != first["b2"]:
-        across = side[a] != side[b]
-        a, b = a[across], b[across]
-    if not len(a):
-        return None
-    table = int(first["at"])
-    if table:
-        h = keys(x)[:, :table]
-        new = ~(h[a] == h[b]).any(axis=1)
-    else:
-        new = np.ones(len(a), bool)
-    size, links = rows["size"].to_numpy(), np.zeros(len(rows), np.int64)
-    np.add.at(links, a[new], size[b[new]])
-    np.add.at(links, b[new], size[a[new]])
-    rep = rows["rep"].to_numpy()
-    root = rep[_components(len(rows), a[new], b[new])]
-    got = links > 0
-    return pd.DataFrame({"digest": rows["digest"].to_numpy()[got], "rep": rep[got], "root": root[got], "links": links[got]})
+class _Rows:
+    """A batch of unit rows as arrays, their directions and keys computed once."""
+
+    def __init__(self, pdf: pd.DataFrame, kind: str):
+        self.cols = {c: pdf[c].to_numpy() for c in ("key", "b1", "b2", "at", "block", "digest", "rep", "label", "dim", "size")}
+        self.x: dict[int, np.ndarray] = {}
+        self.h: dict[int, np.ndarray] = {}
+        self.at = np.zeros(len(pdf), np.int64)
+        vec = pdf["vec"].to_numpy()
+        for dim in np.unique(self.cols["dim"]):
+            rows = np.flatnonzero(self.cols["dim"] == dim)
+            self.at[rows] = np.arange(len(rows))
+            x = unit(np.frombuffer(b"".join(vec[rows]), kind).astype(np.float64).reshape(len(rows), -1))
+            self.x[int(dim)], self.h[int(dim)] = x, keys(x)
+
+    def cuts(self) -> list[int]:
+        key, b1, b2 = (self.cols[c] for c in ("key", "b1", "b2"))
+        return [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(b1) != 0) | (np.diff(b2) != 0)) + 1).tolist(), len(key)]
+
+    def linked(self, start: int, end: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Rows of a unit that gain links: which, how many new ones, and the least member they reach."""
+        rows = np.arange(start, end)
+        if len(rows) < 2:
+            return None
+        c = self.cols
+        rows = rows[(c["label"][rows] == c["label"][start]) & (c["dim"][rows] == c["dim"][start])]  # else keys collide by chance
+        rows = rows[np.argsort(c["rep"][rows], kind="stable")]
+        dim, at = int(c["dim"][start]), self.at[rows]
+        x = self.x[dim][at]
+        a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
+        if c["b1"][start] != c["b2"][start]:
+            across = c["block"][rows[a]] != c["block"][rows[b]]
+            a, b = a[across], b[across]
+        table = int(c["at"][start])
+        if len(a) and table:
+            h = self.h[dim][at, :table]
+            new = ~(h[a] == h[b]).any(axis=1)
+            a, b = a[new], b[new]
+        if not len(a):
+            return None
+        size, links = c["size"][rows], np.zeros(len(rows), np.int64)
+        np.add.at(links, a, size[b])
+        np.add.at(links, b, size[a])
+        root = c["rep"][rows][_components(len(rows), a, b)]
+        got = links > 0
+        return rows[got], links[got], root[got]
 
 
 def _units(kind: str, least: float):
     """Rows sorted by unit; a unit may span batches."""
 
+    def found(rows: _Rows, cuts: list[int]) -> Iterator[pd.DataFrame]:
+        out = [got for s, e in pairwise(cuts) if (got := rows.linked(s, e, least)) is not None]
+        if out:
+            at, links, root = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pd.DataFrame({"digest": rows.cols["digest"][at], "rep": rows.cols["rep"][at], "root": root, "links": links})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            key, b1, b2 = (pdf[c].to_numpy() for c in ("key", "b1", "b2"))
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(b1) != 0) | (np.diff(b2) != 0)) + 1
-            starts = np.append(0, cuts)
-            out = [r for s, e in zip(starts[:-1], starts[1:], strict=True) if (r := _unit_rows(pdf.iloc[s:e], kind, least)) is not None]
-            held = pdf.iloc[starts[-1] :]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if held is not None and (r := _unit_rows(held, kind, least)) is not None:
-            yield r
+            if len(pdf):
+                pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                rows = _Rows(pdf, kind)
+                cuts = rows.cuts()
+                held = pdf.iloc[cuts[-2] :]
+                yield from found(rows, cuts[:-1])
+        if held is not None:
+            rows = _Rows(held, kind)
+            yield from found(rows, rows.cuts())
 
     return run
 

@@ -37,8 +37,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 #: A shard is closed when it is this long.
 SHARD_BYTES = 256 << 20
-#: Stored bytes that are read back by one task at least; larger shards are dealt to several tasks.
-RANGE_BYTES = 1 << 20
+#: Stored bytes that are dealt out together, and that a task reads back.
+RANGE_BYTES, TASK_BYTES = 1 << 20, 16 << 20
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -57,7 +57,7 @@ def encode(samples: bytes) -> bytes:
     filtered = np.zeros((len(rows), WIDTH + 1), np.uint8)  # filter type 0 before each row
     filtered[:, 1:] = rows
     header = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(filtered.tobytes(), 4)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(filtered.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def read_header(head: bytes) -> tuple[int, int, int]:
@@ -95,22 +95,23 @@ def describe(samples: bytes, width: int, height: int, depth: int) -> str:
 class Shard:
     """A tar file under construction, on any file system that pyarrow opens."""
 
-    def __init__(self, uri: str):
-        self.uri, self.known, self.at = uri, {}, 0
+    def __init__(self, folder: str, name: str):
+        uri = f"{folder}/{name}"
+        self.name, self.known, self.at = name, {}, 0
         system, path = fs.FileSystem.from_uri(uri)
         system.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = system.open_output_stream(path)
 
-    def add(self, name: str, data: bytes) -> tuple[int, int]:
+    def add(self, digest: bytes, data: bytes) -> tuple[int, int]:
         """Where the data of a member stand: offset and length."""
-        if name not in self.known:
-            info = tarfile.TarInfo(f"{name}.png")
+        if digest not in self.known:
+            info = tarfile.TarInfo(f"{digest.hex()}.png")
             info.size = len(data)
             head = info.tobuf(tarfile.USTAR_FORMAT)
             self.out.write(head + data + b"\0" * (-len(data) % 512))
-            self.known[name] = (self.at + len(head), len(data))
+            self.known[digest] = (self.at + len(head), len(data))
             self.at += len(head) + len(data) + -len(data) % 512
-        return self.known[name]
+        return self.known[digest]
 
     def close(self) -> None:
         self.out.write(b"\0" * 1024)
@@ -128,12 +129,12 @@ def _write(folder: str):
                     shard.close()
                     shard = None
                 if shard is None:
-                    shard = Shard(f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.tar")
+                    shard = Shard(folder, f"{task.partitionId()}-{task.taskAttemptId()}-{number}.tar")
                     number += 1
                 data, n = payload(text)
-                name = hashlib.sha256(data[:n]).hexdigest()
-                at = shard.known.get(name) or shard.add(name, encode(data))
-                out.append((name, n, shard.uri, *at))
+                digest = hashlib.sha256(data[:n]).digest()
+                at = shard.known.get(digest) or shard.add(digest, encode(data))
+                out.append((digest, n, shard.name, *at))
             rows = pd.DataFrame(out, columns=["digest", "n_bytes", "shard", "offset", "length"])
             rows.insert(0, "id", pd.array(pdf["id"], "Int64"))
             yield rows
@@ -143,35 +144,41 @@ def _write(folder: str):
     return run
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    uri, source = None, None
-    for pdf in small_batches(batches):
-        out = []
-        for r in pdf.itertuples():
-            if r.shard != uri:
-                system, path = fs.FileSystem.from_uri(r.shard)
-                uri, source = r.shard, system.open_input_file(path)
-            width, height, depth = read_header(source.read_at(HEADER_BYTES, r.offset))
-            media = source.read_at(r.length, r.offset)
-            samples = decode(media)
-            out.append(
-                (r.digest, width, height, depth, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(samples, width, height, depth))
-            )
-        yield pd.DataFrame(out, columns=["digest", "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-
-def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in small_batches(batches):
-        out = []
-        for uri, own in pdf.groupby("shard", sort=False):
-            system, path = fs.FileSystem.from_uri(uri)
-            with system.open_input_file(path) as source:
-                out += [(d, *read_header(source.read_at(HEADER_BYTES, o))) for d, o in zip(own["digest"], own["offset"], strict=True)]
-        yield pd.DataFrame(out, columns=["digest", "width", "height", "depth"])
-
-
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """Write the texts' payloads to tar shards: (id, digest, n_bytes, shard, offset, length) for every row.
+def _read(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, source = None, None
+        for pdf in small_batches(batches):
+            out = []
+            for r in pdf.itertuples():
+                if r.shard != name:
+                    system, path = fs.FileSystem.from_uri(f"{folder}/{r.shard}")
+                    name, source = r.shard, system.open_input_file(path)
+                width, height, depth = read_header(source.read_at(HEADER_BYTES, r.offset))
+                media = source.read_at(r.length, r.offset)
+                samples = decode(media)
+                out.append(
+                    (r.digest, width, height, depth, len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).digest(), describe(samples, width, height, depth))
+                )
+            yield pd.DataFrame(out, columns=["digest", "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    return run
+
+
+def _heads(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in small_batches(batches):
+            out = []
+            for name, own in pdf.groupby("shard", sort=False):
+                system, path = fs.FileSystem.from_uri(f"{folder}/{name}")
+                with system.open_input_file(path) as source:
+                    out += [(d, *read_header(source.read_at(HEADER_BYTES, o))) for d, o in zip(own["digest"], own["offset"], strict=True)]
+            yield pd.DataFrame(out, columns=["digest", "width", "height", "depth"])
+
+    return run
+
+
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[DataFrame, str]:
+    """Write the texts' payloads to tar shards: (id, digest, n_bytes, shard, offset, length) for every row, and the shards' folder.
 
     folder: a URI that all executors share and pyarrow opens; by default one
     in the session's shared folder.
@@ -179,39 +186,45 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folde
     folder = folder or new_path(docs.sparkSession, "media")
     folder = f"file://{folder}" if folder.startswith("/") else folder
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(
-        plain.mapInPandas(_write(folder), "id long, digest string, n_bytes long, shard string, offset long, length long"), "manifest"
-    )
+    manifest = plain.mapInPandas(_write(folder), "id long, digest binary, n_bytes long, shard string, offset long, length long")
+    return materialise(manifest, "manifest"), folder
 
 
 def places(manifest: DataFrame) -> DataFrame:
-    """One place of each content, dealt out by ranges of the shards, in order of reading."""
-    one = manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
+    """(digest, shard, offset, length): one place of each content."""
+    return manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
+
+
+def dealt(places: DataFrame) -> DataFrame:
+    """Places dealt out by ranges of the shards, in order of reading."""
     part = F.floor(F.col("offset") / RANGE_BYTES)
-    return one.repartition(F.col("shard"), part).sortWithinPartitions("shard", "offset")
+    # A number of our own: the rows are small, what they refer to is not.
+    tasks = -(-(places.agg(F.sum("length")).first()[0] or 1) // TASK_BYTES)
+    return places.repartition(tasks, F.col("shard"), part).sortWithinPartitions("shard", "offset")
 
 
-def metadata(manifest: DataFrame) -> DataFrame:
+def metadata(manifest: DataFrame, folder: str) -> DataFrame:
     """(digest, width, height, depth) of each content, from header-only range reads."""
-    return places(manifest).mapInPandas(_heads, "digest string, width long, height long, depth int")
+    return dealt(places(manifest)).mapInPandas(_heads(folder), "digest binary, width long, height long, depth int")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """The rows of docs with digest, place, metadata and features of their stored payloads.
 
-    Columns: id_col, digest, n_bytes, shard, offset, length, width, height,
-    depth, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature. Null texts are empty; empty payloads are one row
-    of spaces; null ids stay null; equal texts give equal values; an empty
-    table gives an empty result; other columns are ignored.
+    Columns: id_col, digest, n_bytes, shard (a URI), offset, length, width,
+    height, depth, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature; digests in lowercase hex. Null texts are empty;
+    empty payloads are one row of spaces; null ids stay null; equal texts
+    give equal values; an empty table gives an empty result; other columns
+    are ignored.
     """
-    manifest = store(docs, id_col, text_col, folder)
-    read = materialise(
-        places(manifest).mapInPandas(
-            _read,
-            "digest string, width long, height long, depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
-        ),
-        "features",
+    manifest, folder = store(docs, id_col, text_col, folder)
+    one = materialise(places(manifest), "places")
+    read = dealt(one).mapInPandas(
+        _read(folder),
+        "digest binary, width long, height long, depth int, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string",
     )
-    found = read.join(manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*"), "digest")
-    return manifest.select(F.col("id").alias(id_col), "digest", "n_bytes").join(found, "digest")
+    read = materialise(read, "features")
+    hexed = {c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")}
+    found = manifest.select(F.col("id").alias(id_col), "digest", "n_bytes").join(read.join(one, "digest"), "digest")
+    return found.withColumns(hexed | {"shard": F.concat(F.lit(f"{folder}/"), "shard")})
