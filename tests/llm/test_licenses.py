@@ -66,3 +66,17 @@ def test_templates(spark):
     compare(got, brute(rows))
     for r, (label, _, _) in zip(sorted(got), L.TEMPLATES, strict=False):
         assert label in r.labels.split(",") and r.score > 0.99
+
+
+def test_every_template_is_tried(spark, monkeypatch):
+    prose = "any charge copy source affero documentation mozilla eclipse unencumbered attribution "
+    pairs = [f"{a}. {b}" for la, _, a in L.TEMPLATES for lb, _, b in L.TEMPLATES if la != lb]
+    rows = list(enumerate(pairs + [prose * 50 + t for _, _, t in L.TEMPLATES]))
+    with monkeypatch.context() as m:
+        m.setattr(L, "LOOKUPS", len(L.vocabulary()))
+        want = brute(rows)
+    got = L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    compare(got, want)
+    expect = [{la, lb} for la, _, _ in L.TEMPLATES for lb, _, _ in L.TEMPLATES if la != lb] + [{label} for label, _, _ in L.TEMPLATES]
+    for r, labels in zip(sorted(got), expect, strict=True):
+        assert labels <= set(r.labels.split(",")) and r.score > 0.99

@@ -1,13 +1,15 @@
 """License scans with a positional rare-token index, in DataFrame functions alone.
 
-The index holds, for every word of the licence templates, its postings
-(template, position), and the word's document frequency over all rows. A
-file's licence words of highest IDF are looked up; a word at place i of the
-file and position p of a template proposes that the template starts at i - p.
-Proposals are intersected with the template's other words by their relative
-position: the share of the template's IDF weight that stands in its place is
-the score. A template counts when its mandatory key phrase stands whole in its
-place and the score reaches the threshold.
+The document frequency of every word of the licence templates is counted over
+all rows. The index holds, for each template, a posting (template, position)
+of the word of highest IDF in its mandatory key phrase. Every such word of a
+file is looked up; at place i of the file, with position p in a template, it
+proposes that the template starts at i - p. No template that counts goes
+unproposed, as its key phrase has to stand in its place. Proposals are
+intersected with the template's other words by their relative position: the
+share of the template's IDF weight that stands in its place is the score. A
+template counts when its key phrase stands whole in its place and the score
+reaches the threshold.
 
 Texts are read once. What follows works on a written table of each row's
 licence words, and on the words of rows that hold a key phrase's rarest word;
@@ -53,7 +55,7 @@ TEMPLATES = [
 ]
 #: One word of each base or key phrase; a row without any of them has no phrase.
 ANCHORS = ("license", "cc", "commons", "cc0", "redistribution", "permission", "unencumbered")
-#: Licence words that are looked up in a row, rarest first, and the least score of a template that counts.
+#: Licence words of a row, rarest first, that the SQL looks up (license_scan has no such bound), and the least score of a template that counts.
 LOOKUPS, LEAST = 4, 0.6
 
 
@@ -104,21 +106,21 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = table.count()
     idf = {w: math.log((rows + 1) / (counts.get(w, 0) + 1)) + 1e-6 for w in vocab}
 
-    postings = {w: [{"t": t, "p": p} for t, (_, _, text) in enumerate(TEMPLATES) for p, v in enumerate(text.split()) if v == w] for w in vocab}
+    postings: dict[str, list[dict[str, int]]] = {}
     library = []
-    for label, key, text in TEMPLATES:
+    for t, (label, key, text) in enumerate(TEMPLATES):
         tw, kw = text.split(), key.split()
         at = next(k for k in range(len(tw)) if tw[k : k + len(kw)] == kw)
+        seed = min(range(len(kw)), key=lambda k: (-idf[kw[k]], kw[k], k))
+        postings.setdefault(kw[seed], []).append({"t": t, "p": at + seed})
         weight = [idf[w] for w in tw]
         library.append({"label": label, "words": tw, "key": list(range(at, at + len(kw))), "weight": [x / sum(weight) for x in weight]})
     index = _const(postings, "map<string,array<struct<t:int,p:int>>>")
     books = _const(library, "array<struct<label:string,words:array<string>,key:array<int>,weight:array<double>>>")
 
-    rare = F.slice(F.array_intersect(_array(sorted(vocab, key=lambda w: (-idf[w], w))), F.col("lic")), 1, LOOKUPS)
-    seeds = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains("rare", s.w))
-    starts = F.array_distinct(
-        F.flatten(F.transform("seeds", lambda s: F.transform(F.element_at(F.col("index"), s.w), lambda q: F.struct(q.t.alias("t"), (s.i - q.p).alias("a")))))
-    )
+    seeds = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s.w.isin(list(postings)))
+    # A template has one posting, so no start comes twice.
+    starts = F.flatten(F.transform("seeds", lambda s: F.transform(F.element_at(F.col("index"), s.w), lambda q: F.struct(q.t.alias("t"), (s.i - q.p).alias("a")))))
 
     def stands(book: Column, a: Column, k: Column) -> Column:
         return F.coalesce(F.get(F.col("words"), a + k) == F.get(book.words, k), F.lit(False))
@@ -134,8 +136,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = [F.when(F.size(x) > 0, F.lit(label)) for x, label in zip(base, BASE.values(), strict=True)]
     some = F.size("words") > 0
     rows = (
-        table.withColumn("rare", F.when(some, rare))
-        .withColumn("index", index)
+        table.withColumn("index", index)
         .withColumn("books", books)
         .withColumn("seeds", seeds)
         .withColumn("starts", starts)
