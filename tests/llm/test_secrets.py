@@ -78,3 +78,18 @@ def test_worklist_ends():
     assert S.all_spans("%25" * 50) == []
     S.all_spans(base64.b64encode(zlib.compress(b"a" * 1_000_000)).decode())
     assert S.redacted("abc", [("x", 0, 2), ("y", 1, 3)]) == "[SECRET]"
+
+
+def encoded(data):
+    return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode()
+
+
+def kinds(text):
+    return {k for k, _, _ in S.all_spans(text)}
+
+
+def test_base64_of_short_lines():
+    for end in ("\n", "\r\n", "\t"):
+        inner = encoded(end.join(["a: 1", "b: 2", "c: 3", "d: 4", "e: 5", "f: 6", "password=hunter2hunter2"]))
+        assert "base64>assign" in kinds(f"see {inner} there")
+        assert "hunter2" not in S.redacted(inner, S.all_spans(inner)) and "[SECRET]" in S.redacted(inner, S.all_spans(inner))

@@ -163,8 +163,6 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         if packed:
             at = [whole] * len(data)
         else:
-            if b"\0" in data[:64] or sum(c < 32 for c in data[:64]) > 4:
-                continue
             at = [layer.span(m.start() + 4 * (k // 3) + k % 3, m.start() + min(4 * (k // 3) + k % 3 + 2, len(run))) for k in range(len(data))]
         if got := _utf8(data, at):
             yield Layer(*got, tuple(names))
