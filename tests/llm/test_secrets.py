@@ -93,3 +93,21 @@ def test_base64_of_short_lines():
         inner = encoded(end.join(["a: 1", "b: 2", "c: 3", "d: 4", "e: 5", "f: 6", "password=hunter2hunter2"]))
         assert "base64>assign" in kinds(f"see {inner} there")
         assert "hunter2" not in S.redacted(inner, S.all_spans(inner)) and "[SECRET]" in S.redacted(inner, S.all_spans(inner))
+
+
+def test_readable_stretches_of_mixed_layers():
+    line, noise = "password=hunter2hunter2", b"\0\xe9\xff\x07\x80"
+    for kind, text in {
+        "url>assign": "?name=Jos%E9&password%3Dhunter2hunter2&x=%00", "base64>assign": encoded(b"text " * 99 + noise + line.encode() + noise), "base64>gzip>assign": encoded(gzip.compress(noise + line.encode() + noise, mtime=0)),
+        "base64>url>assign": encoded(noise + b" %FFpassword%3Dhunter2hunter2 " + noise),
+    }.items():
+        assert kind in kinds(text), kind
+        assert "hunter2" not in S.redacted(text, S.all_spans(text))
+    text = "é🙂 " + encoded(noise + b"ab " + line.encode() + b" cd")
+    (a, b), skip = next((a, b) for k, a, b in S.all_spans(text) if k == "base64>assign"), len(noise) + 3
+    assert (a, b) == (3 + 4 * skip // 3, 3 + -(-4 * (skip + len(line)) // 3))
+
+
+def test_url_runs_in_linear_time():
+    assert S.all_spans("x" * 300_000 + "% " + "y" * 300_000 + "%4z") == []
+    assert kinds("z" * 300_000 + "&password%3Dhunter2hunter2") == {"url>assign"}

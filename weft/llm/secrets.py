@@ -7,7 +7,9 @@ layer is rescanned and searched for further layers until nothing new turns up;
 a layer with the same content at the same place isn't taken twice (cycle
 detection). Each layer knows which characters of the original text each of its
 characters came from, so what is found deep inside is reported as a span of
-the original text, as ``layers>kind``.
+the original text, as ``layers>kind``. A layer need not be text as a whole:
+bytes that aren't UTF-8 and control characters stand between its readable
+stretches.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import hashlib
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -39,8 +41,8 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Every access and hex match, and every base64 layer, is inside such a run.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
 
-#: Runs without white space that hold escapes.
-URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
+#: From the first escape of a run without white space; what stands before it is looked for backwards, so that long runs take linear time.
+URL = re.compile(r"(?:%[0-9A-Fa-f]{2}[^\s%]*+)++")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});")
 NOT_HEX = re.compile(r"[^0-9a-f]")
 #: The most bytes that one compressed layer may unpack to; guards workers against decompression bombs.
@@ -70,19 +72,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _utf8(data: bytes, at: list[tuple[int, int]]) -> tuple[str, list[int], list[int]] | None:
-    """Text of the bytes with the origin of each character; None if it is no readable text."""
+def _bytes(text: str) -> bytes:
+    """UTF-8 of the text; what _utf8 couldn't decode gets its bytes back."""
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or any(c < " " and c not in "\t\n\r" for c in text):
+        return text.encode("utf-8", "surrogateescape")
+    except UnicodeEncodeError:
+        return text.encode("utf-8", "surrogatepass")
+
+
+def _telling(text: str) -> bool:
+    """Whether the text can have a base kind or a further layer."""
+    low = text.lower()
+    return any(w in low for w in WORDS) or any(p.search(text) for p in (RUN, URL, ESCAPE))
+
+
+def _utf8(data: bytes, at: Callable[[int], tuple[int, int]]) -> tuple[str, list[int], list[int]] | None:
+    """Text of the bytes with the origin of each character; None if nothing can be found in it.
+
+    A byte that isn't UTF-8 becomes one surrogate, which no pattern takes, so
+    the readable stretches around it keep their places. ``at`` gives the
+    origin of a byte.
+    """
+    text = data.decode("utf-8", "surrogateescape")
+    if not _telling(text):
         return None
     starts, ends, k = [], [], 0
     for c in text:
-        n = len(c.encode())
-        starts.append(at[k][0])
-        ends.append(at[k + n - 1][1])
+        n = len(_bytes(c))
+        starts.append(at(k)[0])
+        ends.append(at(k + n - 1)[1])
         k += n
     return text, starts, ends
 
@@ -90,15 +108,20 @@ def _utf8(data: bytes, at: list[tuple[int, int]]) -> tuple[str, list[int], list[
 def _url(layer: Layer) -> Iterator[Layer]:
     if "%" not in layer.text:
         return
+    done = 0
     for m in URL.finditer(layer.text):
-        s, k, data, at = m[0], 0, bytearray(), []
+        first = m.start()
+        while first > done and layer.text[first - 1] != "%" and not layer.text[first - 1].isspace():
+            first -= 1
+        done = m.end()
+        s, k, data, at = layer.text[first:done], 0, bytearray(), []
         while k < len(s):
             n = 3 if s[k] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", s[k + 1 : k + 3]) else 1
-            raw = bytes([int(s[k + 1 : k + 3], 16)]) if n == 3 else s[k].encode("utf-8", "surrogatepass")
+            raw = bytes([int(s[k + 1 : k + 3], 16)]) if n == 3 else _bytes(s[k])
             data += raw
-            at += [layer.span(m.start() + k, m.start() + k + n)] * len(raw)
+            at += [layer.span(first + k, first + k + n)] * len(raw)
             k += n
-        if got := _utf8(bytes(data), at):
+        if got := _utf8(bytes(data), at.__getitem__):
             yield Layer(*got, (*layer.names, "url"))
 
 
@@ -160,11 +183,12 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             packed = True
             if len(names) > 64:  # data that unpack to themselves
                 break
-        if packed:
-            at = [whole] * len(data)
-        else:
-            at = [layer.span(m.start() + 4 * (k // 3) + k % 3, m.start() + min(4 * (k // 3) + k % 3 + 2, len(run))) for k in range(len(data))]
-        if got := _utf8(data, at):
+
+        def at(k: int, m: re.Match = m, length: int = len(run)) -> tuple[int, int]:
+            c = 4 * (k // 3) + k % 3
+            return layer.span(m.start() + c, m.start() + min(c + 2, length))
+
+        if got := _utf8(data, (lambda k, whole=whole: whole) if packed else at):
             yield Layer(*got, tuple(names))
 
 
