@@ -111,3 +111,24 @@ def test_readable_stretches_of_mixed_layers():
 def test_url_runs_in_linear_time():
     assert S.all_spans("x" * 300_000 + "% " + "y" * 300_000 + "%4z") == []
     assert kinds("z" * 300_000 + "&password%3Dhunter2hunter2") == {"url>assign"}
+
+
+def test_compressed_layers_are_scanned_whole():
+    line, far = "\npassword=hunter2hunter2\n", b"lorem ipsum dolor\n" * 1_000_000
+    members = gzip.compress(b"first", mtime=0) + gzip.compress(line.encode(), mtime=0)
+    for kind, data in {
+        "base64>gzip>assign": members, "base64>zlib>assign": zlib.compress(far + line.encode()), "base64>gzip>gzip>assign": gzip.compress(gzip.compress(far + line.encode(), mtime=0), mtime=0),
+        "base64>gzip>base64>assign": gzip.compress(b"\0" * (17 << 20) + encoded("x" * 2_000_000 + line).encode() + b"\0" * (17 << 20), mtime=0),
+    }.items():
+        assert kind in kinds(encoded(data)), kind
+    split = line.encode() + b"a" * ((16 << 20) - len(line) - 1) + "é".encode()
+    assert "base64>zlib>assign" in kinds(encoded(zlib.compress(split)))
+
+
+def test_windows_lose_nothing(monkeypatch):
+    monkeypatch.setattr(S, "WINDOW", 64)
+    text = "\n".join(f"é {k} password = 'hunter{k}hunter' and {encoded(f'token={k:06d}')} {k}é" for k in range(200))
+    chunks = [text.encode()[k : k + 7] for k in range(0, len(text.encode()), 7)]
+    windows = list(S._windows(iter(chunks)))
+    assert "".join(windows) == text and len(windows) > 50
+    assert sum(len(S.base_spans(w)) for w in windows) == 200 and sum(len(S.RUN.findall(w)) for w in windows) == len(S.RUN.findall(text))

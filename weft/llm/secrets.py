@@ -4,8 +4,8 @@ Every text is scanned for the base kinds as it stands. Then a worklist
 unwraps what is nested in it: URL (%XX) and Unicode (\\uXXXX, \\xXX, &#N;)
 escapes, base64 runs, and compressed data (zlib, gzip) inside base64. Each
 layer is rescanned and searched for further layers until nothing new turns up;
-a layer with the same content at the same place isn't taken twice (cycle
-detection). Each layer knows which characters of the original text each of its
+a layer with the same content at the same place isn't taken twice, but for a
+shorter way to it (cycle detection). Each layer knows which characters of the original text each of its
 characters came from, so what is found deep inside is reported as a span of
 the original text, as ``layers>kind``. A layer need not be text as a whole:
 bytes that aren't UTF-8 and control characters stand between its readable
@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import pandas as pd
@@ -45,18 +46,23 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2}[^\s%]*+)++")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});")
 NOT_HEX = re.compile(r"[^0-9a-f]")
-#: The most bytes that one compressed layer may unpack to; guards workers against decompression bombs.
-UNPACKED = 16 << 20
+#: Compressed layers are unpacked, and scanned, in windows of about so many bytes.
+WINDOW = 1 << 20
+#: Up to the last place where neither a pattern nor a run can go on, nor lines of base64 that belong together.
+BREAK = re.compile(r"""(?s:.*)(?:[^A-Za-z0-9+/_.=\-"':;%\\&#\s]|(?<=[A-Za-z0-9.,;)])\x20(?=[A-Za-z(])|\n(?=[\x20\t]*[^A-Za-z0-9+/_=\s-]))""", re.ASCII)
 
 
 class Layer(NamedTuple):
     text: str
-    #: Original start and end of each character; None for the text itself.
+    #: Original start and end of each character; None for the text itself and what has one origin as a whole.
     starts: list[int] | None
     ends: list[int] | None
     names: tuple[str, ...]
+    whole: tuple[int, int] | None = None
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if self.whole:
+            return self.whole
         return (a, b) if self.starts is None else (min(self.starts[a:b]), max(self.ends[a:b]))
 
 
@@ -119,9 +125,12 @@ def _url(layer: Layer) -> Iterator[Layer]:
             n = 3 if s[k] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", s[k + 1 : k + 3]) else 1
             raw = bytes([int(s[k + 1 : k + 3], 16)]) if n == 3 else _bytes(s[k])
             data += raw
-            at += [layer.span(first + k, first + k + n)] * len(raw)
+            if not layer.whole:
+                at += [layer.span(first + k, first + k + n)] * len(raw)
             k += n
-        if got := _utf8(bytes(data), at.__getitem__):
+        if layer.whole:
+            yield Layer(data.decode("utf-8", "surrogateescape"), None, None, (*layer.names, "url"), layer.whole)
+        elif got := _utf8(bytes(data), at.__getitem__):
             yield Layer(*got, (*layer.names, "url"))
 
 
@@ -131,7 +140,7 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
     parts, starts, ends, at = [], [], [], 0
 
     def plain(upto: int) -> None:
-        for k in range(at, upto):
+        for k in range(at, 0 if layer.whole else upto):
             a, b = layer.span(k, k + 1)
             starts.append(a)
             ends.append(b)
@@ -143,25 +152,74 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
             continue
         plain(m.start())
-        a, b = layer.span(*m.span())
         parts.append(chr(code))
-        starts.append(a)
-        ends.append(b)
+        if not layer.whole:
+            a, b = layer.span(*m.span())
+            starts.append(a)
+            ends.append(b)
         at = m.end()
-    if starts:
+    if parts:
         plain(len(layer.text))
-        yield Layer("".join(parts), starts, ends, (*layer.names, "unicode"))
+        yield Layer("".join(parts), None if layer.whole else starts, None if layer.whole else ends, (*layer.names, "unicode"), layer.whole)
 
 
-def _unpacked(data: bytes) -> tuple[bytes, str] | None:
-    """What compressed data holds."""
-    kind, bits = ("gzip", 31) if data[:2] == b"\x1f\x8b" else ("zlib", 15) if data[:1] == b"\x78" and len(data) > 5 and int.from_bytes(data[:2], "big") % 31 == 0 else (None, 0)
+def _packed(head: bytes) -> str | None:
+    """The kind of compressed data that starts so."""
+    kind = "gzip" if head[:2] == b"\x1f\x8b" else "zlib" if head[:1] == b"\x78" and len(head) > 5 and int.from_bytes(head[:2], "big") % 31 == 0 else None
     if kind:
         try:
-            return zlib.decompressobj(bits).decompress(data, UNPACKED), kind
+            zlib.decompressobj(47).decompress(head, 64)
         except zlib.error:
             return None
-    return None
+    return kind
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What the chunks unpack to, member after member; from where they can't be unpacked, they come as they are."""
+    unpack = zlib.decompressobj(47)
+    for data in chunks:
+        while data:
+            try:
+                out = unpack.decompress(data, WINDOW)
+            except zlib.error:
+                yield b"\n" + data
+                yield from chunks
+                return
+            if out:
+                yield out
+            if unpack.eof:
+                data, unpack = unpack.unused_data, zlib.decompressobj(47)
+            else:
+                data = unpack.unconsumed_tail
+    if out := unpack.flush():
+        yield out
+
+
+def _unpacked(data: bytes) -> tuple[Iterator[bytes], list[str]]:
+    """The bytes inside however many compressed layers, in chunks, and the kinds of these layers."""
+    head, chunks, kinds = data, iter([data[k : k + (WINDOW >> 4)] for k in range(0, len(data), WINDOW >> 4)]), []
+    while len(kinds) < 64 and (kind := _packed(head[:4096])):  # some data unpack to themselves
+        kinds.append(kind)
+        inner = _inflated(chunks)
+        head = b""
+        while len(head) < 4096 and (more := next(inner, None)) is not None:
+            head += more
+        chunks = chain([head], inner)
+    return chunks, kinds
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[str]:
+    """Text of the chunks in windows that end where nothing can go on; longer ones where no such place comes."""
+    decoder, parts, size = codecs.getincrementaldecoder("utf-8")("surrogateescape"), [], 0
+    for data in chunks:
+        text = decoder.decode(data)
+        parts.append(text)
+        size += len(text)
+        if size >= WINDOW and (m := BREAK.match(text)):
+            parts[-1] = text[: m.end()]
+            yield "".join(parts)
+            parts, size = [text[m.end() :]], len(text) - m.end()
+    yield "".join(parts) + decoder.decode(b"", True)
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -175,38 +233,46 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
-        names, whole = [*layer.names, "base64"], layer.span(*m.span())
-        packed = False
-        while found := _unpacked(data):
-            data, kind = found
-            names.append(kind)
-            packed = True
-            if len(names) > 64:  # data that unpack to themselves
-                break
+        names, whole = (*layer.names, "base64"), layer.span(*m.span())
+        chunks, inner = _unpacked(data)
+        if inner:
+            for text in _windows(chunks):
+                if _telling(text):
+                    yield Layer(text, None, None, (*names, *inner), whole)
+            continue
+        if layer.whole:
+            yield Layer(data.decode("utf-8", "surrogateescape"), None, None, names, whole)
+            continue
 
         def at(k: int, m: re.Match = m, length: int = len(run)) -> tuple[int, int]:
             c = 4 * (k // 3) + k % 3
             return layer.span(m.start() + c, m.start() + min(c + 2, length))
 
-        if got := _utf8(data, (lambda k, whole=whole: whole) if packed else at):
-            yield Layer(*got, tuple(names))
+        if got := _utf8(data, at):
+            yield Layer(*got, names)
+
+
+def _unwrapped(layer: Layer) -> Iterator[Layer]:
+    return (x for unwrap in (_url, _unicode, _base64) for x in unwrap(layer) if x.text != layer.text)
 
 
 def all_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans and those of the unwrapped layers, by start and then kind, base kinds first as listed."""
     found = base_spans(text)
-    todo, seen, more = deque([Layer(text, None, None, ())]), set(), set()
-    while todo:
-        layer = todo.popleft()
+    todo, more = [iter([Layer(text, None, None, ())])], set()
+    seen: dict[tuple[bytes, tuple[int, int]], int] = {}  # the fewest steps that led there
+    while todo:  # iterators of layers, the innermost last, so that one window of each compressed layer is held at a time
+        if (layer := next(todo[-1], None)) is None:
+            todo.pop()
+            continue
         if layer.names:
             mark = (xxhash.xxh3_128_digest(layer.text.encode("utf-8", "surrogatepass")), layer.span(0, len(layer.text)))
-            if mark in seen:
+            if seen.get(mark, len(layer.names) + 1) <= len(layer.names):
                 continue
-            seen.add(mark)
+            seen[mark] = len(layer.names)
             for kind, a, b in base_spans(layer.text):
                 more.add((kind, *layer.span(a, b), layer.names))
-        for unwrap in (_url, _unicode, _base64):
-            todo.extend(x for x in unwrap(layer) if x.text != layer.text)
+        todo.append(_unwrapped(layer))
     known = {(k, a, b) for k, a, b in found}
     own: dict[tuple[str, int, int], tuple[str, ...]] = {}
     for kind, a, b, names in sorted(more, key=lambda x: (len(x[3]), x)):
