@@ -132,3 +132,26 @@ def test_windows_lose_nothing(monkeypatch):
     windows = list(S._windows(iter(chunks)))
     assert "".join(windows) == text and len(windows) > 50
     assert sum(len(S.base_spans(w)) for w in windows) == 200 and sum(len(S.RUN.findall(w)) for w in windows) == len(S.RUN.findall(text))
+
+
+def test_base64_anywhere_in_a_run_and_wrapped():
+    line = "password=hunter2hunter2"
+    wrap = lambda s, n, end: end.join(s[k : k + n] for k in range(0, len(s), n))
+    for data, kind in ((line, "base64>assign"), (gzip.compress(line.encode(), mtime=0), "base64>gzip>assign"), *((zlib.compress(line.encode(), n), "base64>zlib>assign") for n in (1, 5, 6, 9))):
+        for before in ("data-", "x/", "_", "ab_c/d-", "key: "):
+            text = before + encoded(data)
+            assert kind in kinds(text), text
+            assert "hunter2" not in S.redacted(text, S.all_spans(text)) and S.redacted(text, S.all_spans(text)) != text
+    noise = b"".join(hashlib.sha256(bytes([k])).digest() for k in range(20))
+    for inner, kind in ((b"lorem ipsum " * 6 + line.encode(), "base64>assign"), (gzip.compress(noise + line.encode(), mtime=0), "base64>gzip>assign"), (encoded(noise + line.encode()).encode(), "base64>base64>assign")):
+        for n in (20, 64, 76):
+            for end in ("\n", "\r\n", "\n    "):
+                for before in ("", "é key: ", "-----BEGIN DATA-----\n", "see data-"):
+                    text = f"{before}{wrap(encoded(inner), n, end)}\n\nafter"
+                    assert kind in kinds(text), (kind, n, end, before)
+    inner = "lorem ipsum dolor sit amet consectetur " + line
+    text = "é🙂 " + wrap(encoded(inner), 64, "\n")
+    a, b = next((a, b) for k, a, b in S.all_spans(text) if k == "base64>assign")
+    assert base64.b64decode(text[3:].replace("\n", "")).decode() == inner and "\n" in text[a:b] and b <= len(text)
+    low = 4 * inner.index(line) // 3
+    assert a == 3 + low + text[3 : 3 + low].count("\n")

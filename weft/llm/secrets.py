@@ -15,7 +15,6 @@ stretches.
 from __future__ import annotations
 
 import base64
-import binascii
 import codecs
 import hashlib
 import re
@@ -46,6 +45,11 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2}[^\s%]*+)++")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});")
 NOT_HEX = re.compile(r"[^0-9a-f]")
+#: Runs at the end of one line and the start of the next; base64 is often wrapped.
+BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)+")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: How base64 of zlib and gzip data starts.
+PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
 #: Compressed layers are unpacked, and scanned, in windows of about so many bytes.
 WINDOW = 1 << 20
 #: Up to the last place where neither a pattern nor a run can go on, nor lines of base64 that belong together.
@@ -89,7 +93,7 @@ def _bytes(text: str) -> bytes:
 def _telling(text: str) -> bool:
     """Whether the text can have a base kind or a further layer."""
     low = text.lower()
-    return any(w in low for w in WORDS) or any(p.search(text) for p in (RUN, URL, ESCAPE))
+    return any(w in low for w in WORDS) or any(p.search(text) for p in (RUN, URL, ESCAPE, BLOCK))
 
 
 def _utf8(data: bytes, at: Callable[[int], tuple[int, int]]) -> tuple[str, list[int], list[int]] | None:
@@ -222,34 +226,70 @@ def _windows(chunks: Iterator[bytes]) -> Iterator[str]:
     yield "".join(parts) + decoder.decode(b"", True)
 
 
+def _runs(text: str) -> Iterator[tuple[str, list[range]]]:
+    """Runs of base64 with the ranges they come from: those on one line, then those wrapped over lines of one width."""
+    for m in RUN.finditer(text):
+        yield m[0], [range(*m.span())]
+    for m in BLOCK.finditer(text):
+        pieces = [range(*p.span()) for p in PIECE.finditer(text, *m.span())]
+        k = 0
+        while k + 1 < len(pieces):  # what stands before the first full line may have any length
+            first, k = k, k + 1
+            width = len(pieces[k])
+            while k + 1 < len(pieces) and len(pieces[k]) == width and len(pieces[k + 1]) <= width:
+                k += 1
+            lines = pieces[first : k + 1]
+            if sum(map(len, lines)) >= 16:
+                yield "".join(text[x.start : x.stop] for x in lines), lines
+
+
+def _decoded(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in RUN.finditer(layer.text):
-        run = m[0]
-        if not NOT_HEX.search(run) or len(run) % 4 == 1:
-            run = run[: len(run) - len(run) % 4] if NOT_HEX.search(run) else ""
-        if not run:
+    names = (*layer.names, "base64")
+    for run, lines in _runs(layer.text):
+        if not NOT_HEX.search(run):
             continue
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        names, whole = (*layer.names, "base64"), layer.span(*m.span())
-        chunks, inner = _unpacked(data)
-        if inner:
+        taken: set[int] = set()
+        # Compressed data may start anywhere in a run, as after data- or x/.
+        for m in PACKED.finditer(run):
+            if not _packed(_decoded(run[m.start() : m.start() + 4096])):
+                continue
+            chunks, inner = _unpacked(_decoded(run[m.start() :]))
+            whole = layer.span(_place(lines, m.start()), lines[-1].stop)
+            taken.add(m.start())
             for text in _windows(chunks):
                 if _telling(text):
                     yield Layer(text, None, None, (*names, *inner), whole)
-            continue
-        if layer.whole:
-            yield Layer(data.decode("utf-8", "surrogateescape"), None, None, names, whole)
-            continue
+        # Text may start anywhere too, so that each of the four phases reads to the end what starts in it.
+        for phase in range(4):
+            if phase in taken or len(run) - phase < 2:
+                continue
+            data = _decoded(run[phase:])
+            if layer.whole:
+                text = data.decode("utf-8", "surrogateescape")
+                if _telling(text):
+                    yield Layer(text, None, None, names, layer.whole)
+                continue
+            last = len(run) - 1
+
+            def at(k: int, phase: int = phase, lines: list[range] = lines, last: int = last) -> tuple[int, int]:
+                c = phase + 4 * (k // 3) + k % 3
+                return layer.span(_place(lines, c), _place(lines, min(c + 1, last)) + 1)
+
+            if got := _utf8(data, at):
+                yield Layer(*got, names)
 
-        def at(k: int, m: re.Match = m, length: int = len(run)) -> tuple[int, int]:
-            c = 4 * (k // 3) + k % 3
-            return layer.span(m.start() + c, m.start() + min(c + 2, length))
 
-        if got := _utf8(data, at):
-            yield Layer(*got, names)
+def _place(lines: list[range], k: int) -> int:
+    """Where the character k of the lines, all but the first and the last of one width, stands."""
+    if k < len(lines[0]):
+        return lines[0][k]
+    line, k = divmod(k - len(lines[0]), len(lines[1]))
+    return lines[1 + line][k]
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
