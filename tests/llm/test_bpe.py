@@ -46,13 +46,16 @@ def test_empty(empty):
     assert bpe_documents(empty, byte_vocabulary()).count() == 0
 
 
-def test_random_strings(library):
-    from weft.llm.bpe import Tokenizer
+@pytest.mark.parametrize("bounds", [{}, {"STRETCH": 7, "RUN": 5, "LONG": 6, "COLUMNS": 3, "CACHE": 20}])
+def test_random_strings(library, monkeypatch, bounds):
+    from weft.llm import bpe
 
+    for name, value in bounds.items():
+        monkeypatch.setattr(bpe, name, value)
     with open(byte_vocabulary(), encoding="utf-8") as f:
-        own = Tokenizer(f.read())
+        own = bpe.Tokenizer(f.read())
     rng = np.random.default_rng(3)
-    letters = list("aab  \n\t'stréñ日🙂09,.!-_ ​\x1c\x85ẞ") + ["'s", "'ll", "<|endoftext|>", "the ", " and"]
+    letters = list("aab  \n\t\0\xa0'stréñ日🙂09,.!-_ ​\x1c\x85ẞ") + ["'s", "'ll", "<|endoftext|>", "the ", " and"]
     for _ in range(3000):
         text = "".join(rng.choice(letters, rng.integers(0, 25)))
         ids, decoded = want(library, text)
