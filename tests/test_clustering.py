@@ -145,3 +145,15 @@ def test_components_of_a_long_chain(spark):
     chain = spark.range(0, 300).selectExpr("id i", "id + 1 j")
     got = connected_components(chain.unionAll(spark.sql("SELECT 1000L, 1000L UNION ALL SELECT null, 5L UNION ALL SELECT 2000L, 2001L")))
     assert {r.component for r in got.where("node < 1000").collect()} == {0} and got.where("node >= 1000").count() == 2
+
+
+def test_rounds_go_on_after_the_last_whole_one(spark, tmp_path):
+    edges, path = spark.createDataFrame(GRAPH, "i long, j long, dist double"), f"file://{tmp_path}/rounds"
+    with pytest.raises(RuntimeError, match="left after 2 rounds"):
+        U.upgma_rounds(edges, PSI, SINGLETONS, m=5, iterations=2, path=path)
+    (tmp_path / "rounds" / "2-sizes" / "_SUCCESS").unlink()  # as if the second round had not been written to its end
+    got = U.upgma_rounds(edges, PSI, SINGLETONS, m=5, path=path, recorded=True).orderBy("merge_no").collect()
+    assert [(r.c1, r.c2, r.merged) for r in got] == [(a, b, m) for a, b, _, m in MERGES]
+    assert [r["round"] for r in got] == [1, 1, 2, 2, 2, 3, 3, 3, 3]
+    report = U.round_report(U.upgma_rounds(edges, PSI, SINGLETONS, m=5, recorded=True)).orderBy("round").collect()
+    assert [(r.n_edges, r.live, r.merges, r.last_merged) for r in report] == [(14, 0, 2, 25), (9, 1, 3, 28), (4, 2, 4, 32)]

@@ -4,10 +4,12 @@ Three ways to the same forest:
 
 * ``components``: each connected component is clustered by a heap in one
   grouped task. For graphs whose components fit a task.
-* ``rounds``: memory-bounded. The M smallest edges are loaded, unknown pairs
-  carry the interval [lambda, psi], and merging goes on while the next merge
-  is certain and its height exact; then all edges are remapped, collated and
-  thickened by DataFrame operations, and the next round begins.
+* ``rounds``: memory-bounded. The M smallest edges are loaded by one task of
+  an executor, unknown pairs carry the interval [lambda, psi], and merging goes
+  on while the next merge is certain and its height exact; then all edges are
+  remapped, collated and thickened by DataFrame operations, and the next round
+  begins. Each round's merges, sizes and edges are written tables, so a run
+  that was stopped goes on from its last whole round.
 * ``reciprocal``: all mutually nearest pairs merge at once, each round in
   DataFrame operations alone; no component has to fit anywhere. Exact because
   average linkage is reducible; among equal distances it may order merges
@@ -33,7 +35,7 @@ from weft.operators.components import connected_components
 from weft.operators.edges import collate, remap, root_map, thicken, top_edges
 from weft.sources.edges import checked, max_singleton
 from weft.sources.matrix import MAX_FEATURES
-from weft.storage import discard, materialise
+from weft.storage import discard, materialise, new_path, written
 
 FOREST = "c1 long, c2 long, height double, merged long, merge_no long"
 #: Edges of a component that one task may hold; larger components go by reciprocal rounds.
@@ -208,34 +210,88 @@ def upgma(edges: DataFrame, psi: float = 1.0, singletons: int | None = None, rul
     return _forest(edges.sparkSession, numbered(merges, n + 1))
 
 
-def upgma_rounds(edges: DataFrame, psi: float = 1.0, singletons: int | None = None, m: int = 10_000_000, iterations: int = 1000, relaxed: bool = False) -> DataFrame:
-    """The same forest with at most m edges loaded at a time; see cluster_certain for relaxed."""
+ROUND = "c1 long, c2 long, height double, merged long, size long"
+
+
+def _round_kernel(full: bool, psi: float, first_id: int, relaxed: bool):
+    """One round's merges, from edges (i, j, dist, si, sj) that reach one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pdf for pdf in batches if len(pdf)]
+        if not parts:
+            return
+        pdf = pd.concat(parts)
+        del parts
+        size = dict(zip(pdf["i"].tolist(), pdf["si"].tolist(), strict=True)) | dict(zip(pdf["j"].tolist(), pdf["sj"].tolist(), strict=True))
+        rows = list(zip(pdf["i"].tolist(), pdf["j"].tolist(), pdf["dist"].tolist(), strict=True))
+        out = []
+        for a, b, height, new in cluster_certain(rows, full, psi, first_id, size, relaxed):
+            size[new] = size[a] + size[b]
+            out.append((a, b, height, new, size[new]))
+        yield pd.DataFrame(out, columns=["c1", "c2", "height", "merged", "size"])
+
+    return run
+
+
+def upgma_rounds(
+    edges: DataFrame, psi: float = 1.0, singletons: int | None = None, m: int = 10_000_000, iterations: int = 1000, relaxed: bool = False, path: str | None = None, recorded: bool = False
+) -> DataFrame:
+    """The same forest with at most m edges loaded at a time; see cluster_certain for relaxed.
+
+    recorded: with the columns round, n_edges (edges before the round) and
+    live (merged clusters that were alive before it). path: a shared folder
+    for the rounds' tables; a run that finds whole rounds there goes on after
+    the last of them.
+    """
     if m <= 0 or iterations <= 0:
         raise ValueError("m and iterations must be above 0")
     spark = edges.sparkSession
+    path = path or new_path(spark, "rounds")
     now, n = _start(edges, psi, singletons)
-    rows: list[tuple[int, int, float, int]] = []
-    size: dict[int, int] = {}
-    for _ in range(iterations):
-        loaded = [(r.i, r.j, r.dist) for r in top_edges(now, m).collect()]  # at most m
-        if not loaded:
-            return _forest(spark, rows)
-        full = len(loaded) == m and now.count() > m
-        part = list(cluster_certain(loaded, full, psi, n + 1 + len(rows), size, relaxed))
-        if not part:
+    sizes, made, parts = spark.createDataFrame([], "id long, size long"), 0, []
+    at = lambda k, name: f"{path.rstrip('/')}/{k}-{name}"
+
+    def kept(df: DataFrame, k: int, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(at(k, name))
+        return spark.read.parquet(at(k, name))
+
+    ended = False
+    for k in range(1, iterations + 1):
+        if written(spark, at(k, "sizes")):  # the last table of a round
+            part, now, sizes = (spark.read.parquet(at(k, x)) for x in ("merges", "edges", "sizes"))
+        else:
+            total = now.count()
+            if not total:
+                ended = True
+                break
+            of = lambda a, b: sizes.select(F.col("id").alias(a), F.col("size").alias(b))  # noqa: B023, E731
+            loaded = top_edges(now.select("i", "j", "dist"), m).join(of("i", "si"), "i", "left").join(of("j", "sj"), "j", "left")
+            loaded = loaded.select("i", "j", "dist", F.coalesce("si", F.lit(1)).alias("si"), F.coalesce("sj", F.lit(1)).alias("sj"))
+            found = loaded.coalesce(1).mapInPandas(_round_kernel(total > m, psi, n + 1 + made, relaxed), ROUND)
+            counted = [F.lit(x).cast("long").alias(name) for x, name in ((k, "round"), (total, "n_edges"), (sizes.count(), "live"))]
+            part = kept(found.select("*", *counted), k, "merges")
+            roots = root_map(part.select("c1", "c2", "height", "merged"))
+            grown = part.join(roots.where("id = root").select(F.col("id").alias("merged")), "merged").select(F.col("merged").alias("id"), "size")
+            after = sizes.join(roots.select("id"), "id", "left_anti").unionByName(grown)
+            rest = kept(thicken(collate(remap(now, roots, sizes)), after, psi) if total > m else now.limit(0).select("i", "j", "dist"), k, "edges")
+            now, sizes = rest, kept(after, k, "sizes")
+        more = part.count()
+        if not more:
             raise RuntimeError("a round merged nothing")
-        before = spark.createDataFrame([(k, v) for k, v in size.items()], "id long, size long")
-        for a, b, _, new in part:
-            size[new] = size.pop(a, 1) + size.pop(b, 1)
-        rows += part
-        if not full:
-            return _forest(spark, rows)
-        roots = root_map(_forest(spark, part).select("c1", "c2", "height", "merged"))
-        after = spark.createDataFrame([(k, v) for k, v in size.items()], "id long, size long")
-        nxt = materialise(thicken(collate(remap(now, roots, before)), after, psi), "edges")
-        discard(now)
-        now = nxt
-    raise RuntimeError(f"edges are left after {iterations} rounds")
+        made += more
+        parts.append(part)
+    if not ended and not now.isEmpty():
+        raise RuntimeError(f"edges are left after {iterations} rounds")
+    forest = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{ROUND}, round long, n_edges long, live long")
+    more = ["round", "n_edges", "live"] if recorded else []
+    return forest.select("c1", "c2", "height", "merged", (F.col("merged") - n).alias("merge_no"), *more)
+
+
+def round_report(recorded: DataFrame) -> DataFrame:
+    """(round, n_edges, live, merges, max_height, last_height, last_merged) of a recorded forest."""
+    return recorded.groupBy("round").agg(
+        F.max("n_edges").alias("n_edges"), F.max("live").alias("live"), F.count("*").alias("merges"), F.max("height").alias("max_height"), F.max_by("height", "merged").alias("last_height"), F.max("merged").alias("last_merged")
+    )
 
 
 def _reciprocal(edges: DataFrame, psi: float, n: int, iterations: int = 10_000) -> list[tuple[object, object, float, object]]:

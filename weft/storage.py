@@ -2,7 +2,8 @@
 
 Executors come and go, so lineage is cut only with tables written to the
 folder that all of them share (``spark.checkpoint.dir``). The setting is read
-from the session; a temporary folder is used only where it is unset (tests).
+from the session; a temporary folder is used only where it is unset and the
+master is local (tests).
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir() or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -60,6 +63,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table of ``materialise`` that nothing reads any more."""
     path = getattr(df, "_weft_path", None)
