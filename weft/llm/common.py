@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,14 @@ def remainder(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that is none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8; bytes.split() has the same separators."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -56,3 +64,16 @@ def small_batches(batches: Iterator[pd.DataFrame], most: int = 256) -> Iterator[
         for k in range(0, len(pdf), most):
             yield pdf.iloc[k : k + most]
     give_back()
+
+
+def by_slices(of: Callable[[list[str | None]], list], kind: pa.DataType, most: int = 256) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """An Arrow UDF of texts that makes Python objects of a slice at a time and leaves its worker small."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [pa.array(of(texts.slice(k, most).to_pylist()), kind) for k in range(0, len(texts), most)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+        give_back()
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return run
