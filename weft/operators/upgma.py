@@ -22,6 +22,7 @@ ids count from max_singleton + 1 in order of merging over the whole forest.
 from __future__ import annotations
 
 import heapq
+import logging
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -37,6 +38,7 @@ from weft.sources.edges import checked, max_singleton
 from weft.sources.matrix import MAX_FEATURES
 from weft.storage import discard, materialise, new_path, written
 
+log = logging.getLogger(__name__)
 FOREST = "c1 long, c2 long, height double, merged long, merge_no long"
 #: Edges of a component that one task may hold; larger components go by reciprocal rounds.
 KERNEL_EDGES = 20_000_000
@@ -280,6 +282,7 @@ def upgma_rounds(
             raise RuntimeError("a round merged nothing")
         made += more
         parts.append(part)
+        log.info("round %d: %d merges, %d in all", k, more, made)
     if not ended and not now.isEmpty():
         raise RuntimeError(f"edges are left after {iterations} rounds")
     forest = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{ROUND}, round long, n_edges long, live long")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.linkage import RULES
 from weft.operators.boosting import edge_filter
 from weft.operators.correlation import METHODS, adjacency, pair_moments, pick_soft_power
 from weft.operators.eigengenes import Components, principal_components
@@ -39,6 +40,8 @@ class Params:
     scale: bool = True
     clusterer: str = "components"
     edges_in_memory: int = 10_000_000
+    rule: str = "arithmetic"
+    relaxed: bool = False
     seed: int = 1
 
     def __post_init__(self) -> None:
@@ -55,6 +58,10 @@ class Params:
             raise ValueError(f"method must be one of {METHODS}")
         if self.clusterer not in CLUSTERERS:
             raise ValueError(f"clusterer must be one of {CLUSTERERS}")
+        if self.rule not in RULES or (self.rule != "arithmetic" and self.clusterer != "components"):
+            raise ValueError(f"rule must be one of {RULES}; rounds and reciprocal pairs know arithmetic alone")
+        if self.relaxed and self.clusterer != "rounds":
+            raise ValueError("relaxed is a way of the rounds")
 
 
 @dataclass(frozen=True)
@@ -104,10 +111,10 @@ def distances(long: DataFrame, params: Params = Params()) -> DataFrame:  # noqa:
 
 def cluster(edges: DataFrame, params: Params, singletons: int) -> DataFrame:
     if params.clusterer == "rounds":
-        return upgma_rounds(edges, 1.0, singletons, params.edges_in_memory)
+        return upgma_rounds(edges, 1.0, singletons, params.edges_in_memory, relaxed=params.relaxed)
     if params.clusterer == "reciprocal":
         return upgma_reciprocal(edges, 1.0, singletons)
-    return upgma(edges, 1.0, singletons)
+    return upgma(edges, 1.0, singletons, params.rule)
 
 
 def aggregate(forest: DataFrame, long: DataFrame, params: Params, singletons: int) -> tuple[DataFrame, DataFrame, Components]:

@@ -9,6 +9,7 @@ both forms. Doubles are rounded to 6 decimals, plus 0.0 against minus zero.
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -457,6 +458,13 @@ def q_pc_var_explained(spark, sf_dir):
     return found.var_explained.select("module", F.col("pc").cast("long").alias("pc"), r6("share", "share"))
 
 
+def q_module_validity(spark, sf_dir):
+    """Every fifth feature is made constant, so that its pair can't be decomposed."""
+    long = e_matrix(spark, sf_dir).withColumn("value", F.when(F.col("feature_id") % 5 == 0, 1.0).otherwise(F.col("value")))
+    found = eigengenes.principal_components(_pair_modules(long), long, trap_errors=True)
+    return eigengenes.validity(_pair_modules(long), found)
+
+
 def q_pc_scores(spark, sf_dir):
     """Squared scores of the first component of each pair of features."""
     long = e_matrix(spark, sf_dir)
@@ -487,6 +495,19 @@ def q_transfer(spark, sf_dir):
     return transfer.project(long, rotation).select("sample_id", "module", r6("value", "value"))
 
 
+def q_transfer_by_name(spark, sf_dir):
+    """New samples whose features are numbered the other way round: matched by name, scaled, projected."""
+    long = e_matrix(spark, sf_dir)
+    ids = materialise(long.select("feature_id").distinct(), "ids")
+    top = ids.agg(F.max("feature_id")).first()[0] or 0
+    rotation = _eights(long).select("feature_id", "module", F.lit(1).alias("pc"), ((F.col("feature_id") % 8 + 1) / 10).alias("loading"))
+    name = F.concat(F.lit("f"), "feature_id").alias("name")
+    model = SimpleNamespace(feature_dim=ids.select("feature_id", name), rotation=rotation)
+    turned = (F.lit(top + 1) - F.col("feature_id")).alias("feature_id")
+    found = transfer.transfer(model, long.select("sample_id", turned, "value"), ids.select(turned, name), scaled=True)
+    return found.select("sample_id", "module", r6("value", "value"))
+
+
 def q_dense_rotation(spark, sf_dir):
     long = e_matrix(spark, sf_dir)
     rotation = _eights(long).select("feature_id", "module", F.lit(1).alias("pc"), (F.col("feature_id") / 10).alias("loading"))
@@ -641,11 +662,13 @@ SQL: dict[str, str] = {
     "q_colour_ranks": f"WITH {NUMBERS}, k AS (SELECT number AS module, row_number() OVER (ORDER BY number) - 1 AS k, count(*) OVER () AS n FROM num WHERE number > 0) SELECT module, CAST(CASE WHEN k < ceil(n / 2) THEN k * 2 ELSE (k - ceil(n / 2)) * 2 + 1 END AS BIGINT) AS rank FROM k",
     "q_me_labels": f"WITH {NUMBERS} SELECT number, CASE WHEN number > 0 THEN 'ME' || number || '_pc2' ELSE 'ME0_' || -number || '_pc2' END AS label, number AS module, CAST(2 AS INTEGER) AS pc FROM num",
     "q_pc_var_explained": f"{PC} SELECT module, pc, {R.format('share')} AS share FROM v",
+    "q_module_validity": f"WITH {E}, s AS (SELECT (feature_id + 1) // 2 AS module, min(sd) > 0 AS valid FROM (SELECT feature_id, stddev_samp(CASE WHEN feature_id % 5 = 0 THEN 1.0 ELSE value END) AS sd FROM e GROUP BY 1) GROUP BY 1) SELECT CAST(1 AS BIGINT) AS tree_id, module, valid, valid AS is_pc, false AS is_hub, valid AS valid_average FROM s",
     "q_pc_scores": f"WITH {Z}, c AS (SELECT (a.feature_id + 1) // 2 AS module, a.sample_id, a.value AS x, b.value AS y FROM z a JOIN z b ON a.sample_id = b.sample_id AND b.feature_id = a.feature_id + 1 WHERE a.feature_id % 2 = 1), s AS (SELECT *, x + sign(corr(x, y) OVER (PARTITION BY module)) * y AS t FROM c) SELECT module, sample_id, {R.format('t * t / sum(t * t) OVER (PARTITION BY module) * 1000')} AS square_milli FROM s",
     "q_cum_pcs": f"{PC} SELECT module, CASE WHEN share > 0.52 THEN CAST(1 AS BIGINT) ELSE 2 END AS n_pcs FROM v WHERE pc = 1",
     "q_avg_expr": f"WITH {MEANS} SELECT module, sample_id, {R.format('value')} AS value FROM means",
     "q_me_dissim": f"WITH {MEANS} SELECT 'ME' || a.module || '_pc1' AS a, 'ME' || b.module || '_pc1' AS b, {R.format('1 - corr(a.value, b.value)')} AS diss FROM means a JOIN means b USING (sample_id) GROUP BY 1, 2",
     "q_transfer": f"WITH {E} SELECT sample_id, (feature_id - 1) // 8 + 1 AS module, {R.format('sum(value * (feature_id % 8 + 1) / 10)')} AS value FROM e GROUP BY 1, 2",
+    "q_transfer_by_name": f"WITH {Z} SELECT sample_id, (feature_id - 1) // 8 + 1 AS module, {R.format('sum(value * (feature_id % 8 + 1) / 10)')} AS value FROM z GROUP BY 1, 2",
     "q_dense_rotation": f"WITH {E}, f AS (SELECT DISTINCT feature_id FROM e), m AS (SELECT DISTINCT (feature_id - 1) // 8 + 1 AS module FROM f) SELECT feature_id, module, {R.format('CASE WHEN (feature_id - 1) // 8 + 1 = module THEN feature_id / 10 ELSE 0.0 END')} AS loading FROM f CROSS JOIN m",
     "q_name_set_check": "SELECT true AS same, (SELECT count(*) FROM (SELECT CAST(r_regionkey AS VARCHAR) FROM region EXCEPT ALL SELECT CAST(n_regionkey AS VARCHAR) FROM nation)) + (SELECT count(*) FROM (SELECT CAST(n_regionkey AS VARCHAR) FROM nation EXCEPT ALL SELECT CAST(r_regionkey AS VARCHAR) FROM region)) = 0 AS other",
     "q_anti_ids": f"WITH {MERGES_SQL} SELECT CAST(k AS BIGINT) AS id FROM range(1, 24) t(k) WHERE k NOT IN (SELECT c1 FROM f UNION SELECT c2 FROM f UNION SELECT merged FROM f)",
