@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,34 +30,14 @@ from weft.storage import materialise
 #: Words, and the base phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: (label, mandatory key phrase, template with the key phrase in it).
-TEMPLATES = [
-    ("gpl", "gnu general public license", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "gnu general public license", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "gnu lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl", "gnu affero general public license", "under the terms of the gnu affero general public license as published by the free software foundation"),
-    ("apache", "apache license", "licensed under the apache license version 2 0"),
-    ("apache", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("mit", "mit license", "released under the mit license"),
-    ("mit", "mit license", "this project is licensed under the terms of the mit license"),
-    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("cc-by", "cc by", "licensed under cc by 4 0"),
-    ("cc-by", "creative commons attribution", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nd", "cc by nd", "licensed under cc by nd 4 0"),
-    ("cc0", "cc0 1 0 universal", "released under cc0 1 0 universal public domain dedication"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "bsd license", "released under the bsd license"),
-    ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("epl", "eclipse public license", "this program is made available under the terms of the eclipse public license 2 0"),
-    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
-]
+#: (label, mandatory key phrase, template with the key phrase in it): sentences and passages of public licences.
+TEMPLATES: list[tuple[str, str, str]] = [tuple(line.split("\t")) for line in (Path(__file__).parent / "license_templates.tsv").read_text(encoding="utf-8").splitlines()]
 #: One word of each base or key phrase; a row without any of them has no phrase.
-ANCHORS = ("license", "cc", "commons", "cc0", "redistribution", "permission", "unencumbered")
-#: Licence words of a row, rarest first, that the SQL looks up (license_scan has no such bound), and the least score of a template that counts.
-LOOKUPS, LEAST = 4, 0.6
+ANCHORS = ("license", "cc", "commons", "cc0", "redistribution", "redistributions", "permission", "unencumbered", "liable", "mpl", "compile", "neighboring")
+#: The least score of a template that counts.
+LEAST = 0.6
+#: Letters outside ASCII with a lower case in it; others of their kind stand in, so that A-Z alone are lower-cased.
+ODD_CAPITALS = {"\u212a": "\u0138", "\u0130": "\u0131"}
 
 
 def vocabulary() -> list[str]:
@@ -90,14 +71,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_base counts all places of base phrases, first_word and last_word are
     their smallest and largest start (null without any), base_labels and
     labels are distinct, sorted and comma-joined ("" without any), score is
-    that of the best template that counts, else 0. Null texts are empty; null
-    ids stay null; repeated rows give equal rows; an empty table gives an
-    empty result; other columns are ignored.
+    that of the best template that counts, else 0. Null texts are empty; texts
+    of any length are read whole, in time linear in their words; null ids stay
+    null; repeated rows give equal rows; an empty table gives an empty result;
+    other columns are ignored.
     """
     vocab = vocabulary()
-    # lower() differs from A-Z to a-z only in characters outside ASCII, which no base phrase can gain or lose by it.
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
-    tokens = docs.select(F.col(id_col).cast("long").alias("id"), words.alias("w"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    for capital, letter in ODD_CAPITALS.items():
+        text = F.replace(text, F.lit(capital), F.lit(letter))
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    tokens = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), words.alias("w"))
     known = tokens.select("id", "w", F.array_intersect(_array(vocab), "w").alias("lic"))
     table = materialise(
         known.select("id", F.size("w").cast("long").alias("n_words"), "lic", F.when(F.arrays_overlap("lic", _array(ANCHORS)), F.col("w")).alias("words")), "license-words"

@@ -51,15 +51,16 @@ def license_scan() -> str:
     base = [(b, label, p, w, len(phrase.split())) for b, (phrase, label) in enumerate(L.BASE.items()) for p, w in enumerate(phrase.split())]
     anchors = ", ".join(f"'{w}'" for w in L.ANCHORS)
     return f"""WITH docs AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 vocab(word) AS {_values((w,) for w in L.vocabulary())}, book(t, label, k0, k1) AS {_values(books)}, tpl(t, p, word) AS {_values(words)}, phrase(b, label, p, word, n) AS {_values(base)},
 tok AS MATERIALIZED (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM docs),
 lic AS MATERIALIZED (SELECT DISTINCT r, word FROM tok JOIN vocab USING (word)),
 idf AS MATERIALIZED (SELECT v.word, ln(((SELECT count(*) FROM docs) + 1.0) / (count(lic.r) + 1)) + 1e-6 AS idf FROM vocab v LEFT JOIN lic USING (word) GROUP BY 1),
 kept AS MATERIALIZED (SELECT DISTINCT r FROM lic WHERE word IN ({anchors})),
 here AS MATERIALIZED (SELECT tok.* FROM tok JOIN kept USING (r)),
-rare AS (SELECT r, word FROM lic JOIN kept USING (r) JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY r ORDER BY idf DESC, word) <= {L.LOOKUPS}),
-starts AS (SELECT DISTINCT r, t, pos - p AS a FROM rare JOIN here USING (r, word) JOIN tpl USING (word)),
+seed AS MATERIALIZED (
+  SELECT t, p, word FROM tpl JOIN book USING (t) JOIN idf USING (word) WHERE p BETWEEN k0 AND k1 QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, word, p) = 1),
+starts AS (SELECT r, t, pos - p AS a FROM here JOIN seed USING (word)),
 judged AS (
   SELECT s.r, s.t, s.a, sum(CASE WHEN h.word = tpl.word THEN idf ELSE 0 END) / sum(idf) AS score, bool_and(coalesce(h.word = tpl.word, false)) FILTER (p BETWEEN k0 AND k1) AS key
   FROM starts s JOIN tpl USING (t) JOIN book USING (t) JOIN idf ON idf.word = tpl.word LEFT JOIN here h ON h.r = s.r AND h.pos = s.a + p GROUP BY 1, 2, 3),
