@@ -1,12 +1,16 @@
 import math
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
+from weft.llm import quality as Q
+from weft.llm import toxicity as X
 from weft.llm.queries import op8_quality_subwords, op9_toxicity
 from weft.llm.quality import quality_scores
-from weft.llm.toxicity import IDENTITY, features, toxicity_scores, train
+from weft.llm.toxicity import IDENTITY, features, kinds_of, toxicity_scores, train
 
 CASES = [(op8_quality_subwords, "quality", 5, 0, 0.3), (op9_toxicity, "toxic", 3, 1, 0.7)]
 
@@ -36,6 +40,8 @@ def test_held_out_accuracy(spark, case):
     held = [(r.score, y[r.doc_id]) for r in got if r.held_out and r.doc_id in y]
     assert auc(held) > 0.95
     assert sum((s >= threshold) == bool(v) for s, v in held) / len(held) > 0.9
+    caught = [s >= threshold for s, v in held if v]
+    assert sum(caught) / len(caught) >= 0.9  # 14 of 144 toxic ones are missed, most of which have no word that others don't have
 
 
 @pytest.mark.parametrize("scores", [quality_scores, toxicity_scores])
@@ -52,17 +58,18 @@ def test_edge_rows(spark, edge, empty, no_labels, scores):
 
 def test_swapped_copies_lower_the_weight_of_identity_terms():
     rng = np.random.default_rng(4)
+    terms = [w for line in IDENTITY.split("\n")[1:5] for w in line.split()]
     abuse, plain = ["idiot", "scum", "worthless"], "the a of to on with is are for by".split()
     texts, y = [], []
     for k in range(600):  # group terms come with abuse far more often than without
-        own = list(rng.choice(plain, 5)) + ([IDENTITY[rng.integers(8)]] if rng.random() < (0.9 if k % 2 else 0.2) else [])
+        own = list(rng.choice(plain, 5)) + ([terms[rng.integers(len(terms))]] if rng.random() < (0.9 if k % 2 else 0.2) else [])
         texts.append(" ".join(own + ([abuse[rng.integers(3)]] if k % 2 and rng.random() < 0.8 else [])))
         y.append(k % 2)
     raised = {}
     for penalty in (0.0, 2.0):
         w, bias = train(texts, np.array(y), penalty=penalty)
         score = lambda *x: bias + sum(w.get(f, 0) for f in features(set(x)))  # noqa: E731, B023
-        raised[penalty] = np.mean([score(g, "the", "of") - score("the", "of") for g in IDENTITY[:8]])
+        raised[penalty] = np.mean([score(g, "the", "of") - score("the", "of") for g in terms])
         assert score("idiot", "the", "of") > score("the", "of") + 1
     assert raised[2.0] < 0.5 * raised[0.0]
 
@@ -76,3 +83,72 @@ def test_sample_is_bounded(spark):
     assert 0 < sum(map(len, got["text"])) <= 3000 and set(map(len, got["text"])) <= {10, 1000}
     assert len(labelled(docs, labels, "doc_id", "text", "quality", 5, 0, 7)) == 7
     assert len(labelled(docs, labels, "doc_id", "text", "quality", 5, 0, 1000)) > 20
+
+
+def forward_quality(text, weight, bias):
+    """Score of a text, feature by feature."""
+    data, ids = (text or "").encode(), []
+    words = re.split(rb"[\x20\x09-\x0d]+", data)
+    words = [xxhash.xxh32_intdigest(w) for w in words if w]
+    ids += [w % Q.WORD_BUCKETS for w in words]
+    ids += [Q.WORD_BUCKETS + Q.GRAM_BUCKETS] * 4 * sum(a == b for a, b in zip(words, words[1:], strict=False))
+    for n in Q.GRAMS:
+        for k in range(len(data) - n + 1):
+            g = n
+            for b in data[k : k + n]:
+                g = (g * 0x01000193 + b) % 2**32
+            g = (g ^ (g >> 15)) * 0x2C1B3C6D % 2**32
+            ids.append(Q.WORD_BUCKETS + (g >> 15))
+    ids.append(Q.WORD_BUCKETS + Q.GRAM_BUCKETS + 1)
+    return 1 / (1 + math.exp(-(sum(float(weight[i]) for i in ids) / len(ids) + bias)))
+
+
+def forward_toxicity(text, weights, bias):
+    words = set(re.findall(r"\w+", (text or "").lower()))
+    z = bias + sum(w for f, w in weights.items() if not f.endswith("-") and f in words)
+    for f, w in weights.items():
+        if f.endswith("-"):
+            own = sum(len(x) >= len(f.rstrip("-")) and x.startswith(f.rstrip("-")) for x in words)
+            z += w * (own > 1 if f.endswith("--") else own > 0)
+    return 1 / (1 + math.exp(-z))
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_scores_against_a_plain_forward_pass(spark, sf_dir, case):
+    query, label, folds, fold, _ = case
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = sorted((r.doc_id, r[label]) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % folds != fold and r.doc_id in texts)
+    module, forward = (Q, forward_quality) if label == "quality" else (X, forward_toxicity)
+    model = module.train([texts[i] for i, _ in known], np.array([y for _, y in known]))
+    got = {r.doc_id: r.score for r in query(spark, sf_dir).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        assert got[i] == pytest.approx(forward(text, *model), abs=1e-5)
+
+
+def test_terms_swap_inside_one_kind():
+    kinds = kinds_of()
+    assert "men" in kinds["women"] and "hindu" not in kinds["old"] and "extranjeros" not in kinds["women"]
+    assert all(w in own for w, own in kinds.items())
+
+
+def test_neutral_mentions_in_held_out_texts(spark):
+    """Group terms put into held-out texts that aren't toxic hardly change who is rejected."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    known = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.doc_id in docs]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    rows = sorted((i, y) for i, y in known if fold(i) != 1)
+    model = X.Model(*train([docs[i] for i, _ in rows], np.array([y for _, y in rows])))
+    clean = [docs[i] or "" for i, y in known if fold(i) == 1 and not y]
+    before, terms = (model.scores(clean) >= 0.7).mean(), sorted(kinds_of())
+    after = (model.scores([f"{t} {terms[k % len(terms)]}" for k, t in enumerate(clean)]) >= 0.7).mean()
+    assert before <= 0.01 and after <= before + 0.002
+
+
+def test_ties_among_labels_and_texts(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x"), (3, None), (3, "y"), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (3, 7), (None, 1)], "doc_id long, quality int")
+    got = Q.labelled(docs, labels, "doc_id", "text", "quality", 1000, 999, 10)
+    assert [tuple(r) for r in got[["id", "text", "y"]].itertuples(index=False)] == [(1, "a", 0), (2, "x", 1), (3, "y", 1)]

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import remainder, small_batches
-from weft.storage import materialise
+from weft.storage import discard, materialise
 
 #: Buckets of words and of character n-grams, length of a vector, n-gram lengths in bytes.
 WORD_BUCKETS, GRAM_BUCKETS, DIM, GRAMS = 1 << 16, 1 << 17, 8, (3, 4)
 BUCKETS = WORD_BUCKETS + GRAM_BUCKETS + 2
 #: The most labelled rows that are learned from, chosen by a hash of their id.
 SAMPLE = 4000
-#: The most bytes of their texts; whole texts that would go beyond are passed over.
+#: The most bytes of their texts; the first text in that order that would go beyond ends the sample.
 SAMPLE_BYTES = 64 << 20
 
 
@@ -87,38 +87,44 @@ def _scorer(model):
     return run
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_fold: int, sample: int, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
-    """At most ``sample`` labelled rows (text, y) and ``most_bytes`` of text outside the held-out fold, by a hash of their id."""
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
-    known = known.where(remainder("id", folds) != held_fold).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = plain.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "text", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("id").alias("h"))
-    table = materialise(found, "sample")
-    chosen, total = [], 0
-    for r in sorted(table.select("h", "id", "size").collect()):  # at most `sample` rows
-        if total + r["size"] <= most_bytes:
-            chosen.append(r.id)
-            total += r["size"]
-    rows = table.where(F.col("id").isin(chosen)) if len(chosen) < table.count() else table
-    return rows.select("id", "text", "y").toPandas().sort_values("id", ignore_index=True)
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_fold: int, sample: int, sample_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """Labelled rows (id, text, y) outside the held-out fold, in order of a hash of their id, up to ``sample`` rows and ``sample_bytes`` of text.
+
+    An id with several labels has the smallest, one with several texts the
+    smallest of these; other labels than 0 and 1 don't count.
+    """
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("y in (0, 1) and id is not null")
+    known = known.where(remainder("id", folds) != held_fold).groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = plain.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    table = materialise(found.select("id", "text", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("id").alias("h")), "sample")
+    order = sorted(table.select("h", "id", "size").collect())  # at most `sample` rows
+    ends = np.cumsum([r["size"] for r in order])
+    chosen = [r.id for r, end in zip(order, ends, strict=True) if end <= sample_bytes]
+    rows = table.where(F.col("id").isin(chosen)) if len(chosen) < len(order) else table
+    got = rows.select("id", "text", "y").toPandas().sort_values("id", ignore_index=True)
+    discard(table)
+    return got
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, threshold: float = 0.3, sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, threshold: float = 0.3, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES
 ) -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of docs.
 
-    Learns from at most ``sample`` labelled rows outside the held-out fold,
-    from their texts alone. Null and empty texts get the score of a text
-    without words; null ids stay null and count as "" in the fold; repeated
+    Learns from at most ``sample`` labelled rows outside the held-out fold and
+    at most ``sample_bytes`` of their texts (see labelled), from the texts
+    alone; an id with several labels or texts counts with the smallest. Null
+    and empty texts get the score of a text without words; texts of any length
+    are scored whole; null ids stay null and count as "" in the fold; repeated
     rows get equal scores; without labelled rows (or with labels of one kind)
     the score is 0.5 or that kind's side; an empty table gives an empty
     result; other columns are ignored.
     """
-    known = labelled(docs, labels, id_col, text_col, label_col, folds, held_fold, sample)
+    known = labelled(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, sample_bytes)
     model = docs.sparkSession.sparkContext.broadcast(train(list(known["text"]), known["y"].to_numpy(int)))
     plain = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (remainder(id_col, folds) == held_fold).alias("held")
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), (remainder(id_col, folds) == held_fold).alias("held")
     )
     scored = plain.mapInPandas(_scorer(model), "id long, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

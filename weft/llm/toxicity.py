@@ -3,7 +3,7 @@
 Logistic regression over the presence of words, word beginnings, and beginnings
 that several words share. Labelled
 sentences with an identity term are paired with copies that name another
-group instead, and training penalises the squared change of the score between
+group of the same kind, or none, instead, and training penalises the squared change of the score between
 the two, so that neutral mentions of a group don't raise it. Presence, not
 frequency, so that a long text doesn't dilute what it contains.
 """
@@ -17,22 +17,45 @@ from sys import intern
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import remainder, small_batches
-from weft.llm.quality import labelled
+from weft.llm.common import by_slices, remainder, small_batches
+from weft.llm.quality import SAMPLE_BYTES, labelled
 
-#: The most labelled rows that are learned from, and the most features kept.
+#: The most labelled rows that are learned from, and the most features kept, those that tell most.
 SAMPLE, FEATURES = 8000, 4000
 BEGINNINGS = (3, 4, 5, 6)
-#: Terms for groups of people that stand for one another in swapped sentences.
-IDENTITY = (
-    "women men girls boys muslim muslims christian christians jewish jews hindu hindus buddhist atheist gay lesbian bisexual transgender straight queer "
-    "black white asian african latino arab immigrant immigrants refugee refugees foreigner foreigners disabled deaf blind elderly young old poor rich "
-    "frauen männer muslime christen juden ausländer flüchtlinge femmes hommes musulmans chrétiens juifs étrangers réfugiés mujeres hombres musulmanes "
-    "cristianos judíos extranjeros refugiados"
-).split()
+#: Terms for groups of people; those of one line, of one kind and language, stand for one another in swapped sentences.
+IDENTITY = """
+women men girls boys
+muslim christian jewish hindu buddhist atheist
+muslims christians jews hindus buddhists atheists
+gay lesbian bisexual transgender straight queer
+black white asian african latino arab
+immigrant refugee foreigner
+immigrants refugees foreigners
+disabled deaf blind
+elderly young old
+poor rich
+frauen männer
+muslime christen juden
+ausländer flüchtlinge einwanderer
+femmes hommes
+musulmans chrétiens juifs
+étrangers réfugiés immigrés
+mujeres hombres
+musulmanes cristianos judíos
+extranjeros refugiados inmigrantes
+"""
+
+
+def kinds_of(identity: str = IDENTITY) -> dict[str, list[str]]:
+    """The terms that may stand for each term, itself among them."""
+    return {w: line.split() for line in identity.split("\n") for w in line.split()}
+
+
 _words = re.compile(r"\w+").findall
 
 
@@ -55,11 +78,14 @@ def _matrix(bags: list[set[str]], index: dict[str, int]) -> list[np.ndarray]:
     return [np.array(sorted(index[f] for f in features(b) if f in index), np.int64) for b in bags]
 
 
-def train(texts: list[str | None], y: np.ndarray, identity=IDENTITY, penalty: float = 2.0, epochs: int = 12, rate: float = 0.3, shrink: float = 1.2e-3, seed: int = 11) -> tuple[dict[str, float], float]:
-    """Weights of features and the bias."""
+def train(
+    texts: list[str | None], y: np.ndarray, identity: str = IDENTITY, penalty: float = 2.0, epochs: int = 12, rate: float = 0.3, shrink: float = 1.2e-3, seed: int = 11, most_features: int = FEATURES
+) -> tuple[dict[str, float], float]:
+    """Weights of the ``most_features`` features that tell most, and the bias."""
     rng = np.random.default_rng(seed)
     bags = [set(map(intern, words_of(t))) for t in texts]
-    groups = {w for w in identity if any(w in b for b in bags)} if bags else set()
+    others = kinds_of(identity)
+    groups = {w for w in others if any(w in b for b in bags)}
     kind = [Counter(), Counter()]
     seen = np.zeros(1 << 22, np.uint8)  # a first count by hash, at least the true one, so that rare features take no memory
     for b in bags:
@@ -74,15 +100,18 @@ def train(texts: list[str | None], y: np.ndarray, identity=IDENTITY, penalty: fl
         if a + b >= 3:
             p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
             gain[f] = abs(p - q) * abs(np.log(p / q))
-    kept = sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES]
+    kept = sorted(gain, key=lambda f: (-gain[f], f))[:most_features]
     index = {f: i for i, f in enumerate(dict.fromkeys([*kept, *(g for w in sorted(groups) for g in sorted(features({w})))]))}
     del kind, gain
     rows = _matrix(bags, index)
     twins: dict[int, np.ndarray] = {}
-    terms = sorted(groups | set(identity))
     for i, b in enumerate(bags):
         if own := b & groups:
-            swapped = (b - own) | {terms[int(rng.integers(len(terms)))] for _ in own}
+            swapped = b - own
+            for g in sorted(own):  # half of the time for a placeholder without weight, as terms of a kind may be alike in their weights
+                k = int(rng.integers(2 * len(others[g])))
+                if k < len(others[g]):
+                    swapped.add(others[g][k])
             twins[i] = _matrix([swapped], index)[0]
     w, bias = np.zeros(len(index)), float(np.log((n1 + 1) / (n0 + 1)))
     weight = {1: 0.5 * (n0 + n1) / max(1, n1), 0: 0.5 * (n0 + n1) / max(1, n0)}
@@ -139,36 +168,42 @@ def _scorer(model):
     return run
 
 
-def _series_scorer(model):
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Model(*model.value)
-        for t in texts:
-            yield pd.Series(own.scores(t))
+def _text_scorer(model):
+    held: list[Model] = []  # unpacked once a worker's task
 
-    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return run
+    def scores(texts: list[str | None]) -> list[float]:
+        if not held:
+            held.append(Model(*model.value))
+        return held[0].scores(texts).tolist()
+
+    return by_slices(scores, pa.float64())
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = SAMPLE):
-    """A broadcast model learned from at most ``sample`` labelled rows outside the held-out fold."""
-    known = labelled(docs, labels, id_col, text_col, label_col, folds, held_fold, sample)
-    return docs.sparkSession.sparkContext.broadcast(train(list(known["text"]), known["y"].to_numpy(int)))
+def fitted(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, most_features: int = FEATURES
+):
+    """A broadcast model learned from a bounded sample of labelled rows outside the held-out fold; see labelled."""
+    known = labelled(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, sample_bytes)
+    return docs.sparkSession.sparkContext.broadcast(train(list(known["text"]), known["y"].to_numpy(int), most_features=most_features))
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, threshold: float = 0.7, sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, threshold: float = 0.7, **bounds: int
 ) -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of docs.
 
-    Learns from at most ``sample`` labelled rows outside the held-out fold,
-    from their texts alone. Null and empty texts get the bias's score; null
-    ids stay null and count as "" in the fold; repeated rows get equal scores;
-    without labelled rows the score is 0.5; an empty table gives an empty
-    result; other columns are ignored.
+    Learns from at most ``sample`` labelled rows outside the held-out fold, at
+    most ``sample_bytes`` of their texts and ``most_features`` features (the
+    bounds, see fitted), from the texts alone; an id with several labels or
+    texts counts with the smallest. Null and empty texts get the bias's score;
+    texts of any length are scored whole; null ids stay null and count as ""
+    in the fold; repeated rows get equal scores; without labelled rows the
+    score is 0.5; an empty table gives an empty result; other columns are
+    ignored.
     """
-    model = fitted(docs, labels, id_col, text_col, label_col, folds, held_fold, sample)
+    model = fitted(docs, labels, id_col, text_col, label_col, folds, held_fold, **bounds)
     plain = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (remainder(id_col, folds) == held_fold).alias("held")
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), (remainder(id_col, folds) == held_fold).alias("held")
     )
     scored = plain.mapInPandas(_scorer(model), "id long, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -177,9 +212,11 @@ def toxicity_scores(
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """Rows of docs, with all their columns, whose score is below the threshold.
 
-    Scored row by row where they are, so nothing is joined back; nulls,
-    repeats and empty tables as in toxicity_scores.
+    Scored row by row where they are, so nothing is joined back: rows with null
+    or empty texts have the bias's score, rows with equal texts stay or go
+    together, null ids stay as they are, columns may have any names, an empty
+    table gives an empty one. options: those of fitted.
     """
     model = fitted(docs, labels, id_col, text_col, **options)
-    score = F.pandas_udf(_series_scorer(model), "double")
-    return docs.where(score(F.col(text_col).cast("string")) < threshold)
+    score = F.arrow_udf(_text_scorer(model), "double")
+    return docs.where(score(F.col(f"`{text_col}`").cast("string")) < threshold)
