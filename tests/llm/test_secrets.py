@@ -155,3 +155,56 @@ def test_base64_anywhere_in_a_run_and_wrapped():
     assert base64.b64decode(text[3:].replace("\n", "")).decode() == inner and "\n" in text[a:b] and b <= len(text)
     low = 4 * inner.index(line) // 3
     assert a == 3 + low + text[3 : 3 + low].count("\n")
+
+
+CODERS = {
+    "url": lambda s: "".join(f"%{b:02X}" if not chr(b).isalnum() or b % 3 == 0 else chr(b) for b in s.encode()),
+    "unicode": lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+    "base64": encoded,
+    "zlib": lambda s: encoded(zlib.compress(s.encode())),
+    "gzip": lambda s: encoded(gzip.compress(s.encode(), mtime=0)),
+}
+
+
+def decodings(token):
+    """What a token decodes to, by the standard library's decoders."""
+    yield urllib.parse.unquote(token)
+    yield re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), token)
+    for cut in range(min(4, len(token))):
+        run = re.match("[A-Za-z0-9+/]*", token[cut:])[0]
+        try:
+            data = base64.b64decode(run[: len(run) // 4 * 4] if len(run) % 4 == 1 else run + "=" * (-len(run) % 4))
+        except ValueError:
+            continue
+        yield data.decode("utf-8", "replace")
+        for wbits in (15, 31):
+            try:
+                yield zlib.decompressobj(wbits).decompress(data).decode("utf-8", "replace")
+            except zlib.error:
+                pass
+
+
+def reachable(text, secret, depth=6):
+    """Whether the secret turns up when tokens are decoded again and again."""
+    todo, seen = {text}, set()
+    for _ in range(depth):
+        if any(secret in t for t in todo):
+            return True
+        seen |= todo
+        todo = {d for t in todo for token in t.split() for d in decodings(token)} - seen
+    return False
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(sorted(CODERS)), min_size=1, max_size=4), st.sampled_from(["password=", "api_key: '", "TOKEN = \"", "id AKIA"]))
+def test_generated_nestings_against_the_standard_decoders(chain, start):
+    secret = "QX7" + "ABCDEFGH" * 3 + "45"
+    inner = start + secret
+    for name in chain:
+        inner = CODERS[name](inner)
+    text = f"Größe: {inner} end"
+    assert reachable(text, secret)
+    spans = S.all_spans(text)
+    lo, hi = text.index(inner), text.index(inner) + len(inner)
+    assert any(">" in k and lo <= a < b <= hi for k, a, b in spans), (chain, spans)
+    assert not reachable(S.redacted(text, spans), secret), chain
