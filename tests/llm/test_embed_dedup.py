@@ -68,3 +68,10 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
 
 def test_empty(spark):
     assert E.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_ids_with_several_vectors(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, x, 0), (5, x, 0), (5, y, 0), (2, y, 0), (7, z, 0), (3, z, 0), (9, None, 0), (None, x, 0)]
+    got = E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(1, 1, 1, True), (5, 1, 1, False), (5, 1, 1, False), (2, 1, 1, False), (7, 1, 3, False), (3, 1, 3, True), (9, 0, 9, True), (None, 0, None, True)], key=str)

@@ -55,3 +55,21 @@ def test_shards_are_tar_files_with_each_content_once(spark, tmp_path):
 def test_round_trip(n):
     data, _ = M.payload("x" * n)
     assert M.decode(M.encode(data)) == data and len(data) % 192 == 0 and data
+
+
+def test_addresses_are_those_of_the_stored_payload(spark, tmp_path):
+    rows = [(1, "abc"), (2, "abc "), (3, "abc"), (4, None), (5, " " * 192), (6, "abc\n")]
+    got = {r.doc_id: r for r in M.media_columns(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 6 and all(r.digest == r.payload_sha256 for r in got.values())
+    place = lambda k: (got[k].digest, got[k].shard, got[k].offset, got[k].length)
+    assert place(1) == place(2) == place(3) != place(6) and place(4) == place(5)
+    assert [got[k].n_bytes for k in range(1, 7)] == [3, 4, 3, 0, 192, 4]
+
+
+def test_damaged_payloads_are_noticed(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "abc"), (2, "def")], "doc_id long, text string").coalesce(1)
+    manifest, folder = M.store(docs, folder=f"file://{tmp_path}/media")
+    swapped = {r.id: r for r in manifest.collect()}
+    wrong = spark.createDataFrame([(swapped[1].digest, swapped[2].shard, swapped[2].offset, swapped[2].length, 1)], "digest binary, shard string, offset long, length long, size long")
+    with pytest.raises(Exception, match="not the content of"):
+        wrong.mapInPandas(M._read(folder), "digest binary, shard string, offset long, length long, size long, width long, height long, depth int, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string").collect()

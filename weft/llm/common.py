@@ -13,7 +13,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.storage import materialise
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+#: A class of a larger share of all rows than one in so many is joined by a broadcast.
+HOT_SHARE = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,6 +38,26 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def with_class(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of their class; ``size`` of classes says how many of ``total`` rows each has.
+
+    Classes of at least a thousandth of all rows, a thousand at most, are
+    broadcast; the others meet their rows by the key. Both tables are read
+    more than once.
+    """
+    large = F.col("size") * HOT_SHARE >= max(1, total)
+    hot, others = F.broadcast(classes.where(large).drop("size")), classes.where(~large).drop("size")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key))
+
+
+def same_id(rows: DataFrame) -> DataFrame:
+    """(a, b): classes, by their digests, that an id of several of them connects, from rows (id, digest)."""
+    h = F.xxhash64("digest")
+    several = rows.groupBy("id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("id")
+    own = materialise(rows.join(several, "id").select("id", "digest").distinct(), "several")
+    return own.join(own.groupBy("id").agg(F.min("digest").alias("a")), "id").select("a", F.col("digest").alias("b")).where("a <> b")
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8; bytes.split() has the same separators."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import MIX, scramble, small_batches
+from weft.llm.common import MIX, same_id, scramble, small_batches, with_class
 from weft.operators.components import connected_components
 from weft.storage import discard, materialise
 
@@ -179,8 +179,9 @@ def near_vectors(
     Linked with nothing: vectors that are null, empty, zero or hold null or
     non-finite components, null labels, null ids (their component is null,
     kept true) and vectors of another length. Rows that repeat an id count
-    each as a vector and share a component; an empty table gives an empty
-    result; other columns are ignored.
+    each as a vector and share a component, whatever their vectors; vectors
+    of any length are compared whole; an empty table gives an empty result;
+    other columns are ignored.
     """
     kind = "<f4" if vectors.schema[vec_col].dataType.jsonValue().get("elementType") == "float" else "<f8"
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("vec"))
@@ -192,7 +193,7 @@ def near_vectors(
         "classes",
     )
     banded = materialise(classes.select("digest", "rep", F.posexplode("keys").alias("at", "key")), "banded")
-    full = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    full = materialise(banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "full")  # written, so that a large bucket's join can be split
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     inside = banded.join(full, "key").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(digest), blocks) as int)"))
     inside = inside.join(classes.select("digest", "label", "dim", "size", "vec"), "digest")
@@ -202,19 +203,22 @@ def near_vectors(
     # Rows of one unit stay together; a bucket's units spread by their blocks.
     sent = dealt.repartition(F.col("key"), F.col("b1"), F.col("b2")).sortWithinPartitions("key", "b1", "b2")
     found = materialise(sent.mapInPandas(_units(kind, cosine), "digest binary, rep long, root long, links long"), "found")
-    near = connected_components(found.select(F.col("root").alias("i"), F.col("rep").alias("j")).where("i <> j"))
+    named = hashed.where("digest is not null").select("id", "digest")
+    r = lambda a, b: classes.select(F.col("digest").alias(a), F.col("rep").alias(b))
+    again = same_id(named).join(r("a", "i"), "a").join(r("b", "j"), "b").select("i", "j")
+    near = connected_components(found.select(F.col("root").alias("i"), F.col("rep").alias("j")).unionByName(again).where("i <> j"))
     linked = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    named = (
+    of_class = (
         classes.select("digest", "rep", "size")
         .join(linked, "digest", "left")
         .join(near.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("digest", F.coalesce("component", "rep").alias("comp"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+        .select("digest", "size", F.coalesce("component", "rep").alias("comp"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("links"))
     )
-    for t in (banded,):
+    of_class = materialise(of_class, "named")
+    for t in (banded, found, near):
         discard(t)
-    return hashed.select("id", "digest").join(named, "digest", "left").select(
-        F.col("id").alias(id_col),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("comp", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("comp", "id"), F.lit(True)).alias("kept"),
+    alone = hashed.where("digest is null").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("comp"))
+    every = with_class(named, of_class, "digest", hashed.count()).select("id", "links", "comp").unionByName(alone)
+    return every.select(
+        F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept")
     )

@@ -2,8 +2,9 @@
 
 A payload (bytes, padded with spaces to whole rows of 192 samples) is stored
 losslessly as an 8-bit greyscale PNG image, named by the digest of its
-content, in a tar shard in the shared folder. Rows carry digest, offset and
-length. Metadata columns (width, height, depth) come from range reads of the
+content (the padded payload), in a tar shard in the shared folder. Rows carry
+digest, offset and length; what is read back must have the digest it is named
+by. Metadata columns (width, height, depth) come from range reads of the
 header alone; features come from reading the stored bytes back.
 
 Each task writes shards of its own, under a name that holds its attempt, so a
@@ -28,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import small_batches
-from weft.storage import materialise, new_path
+from weft.llm.common import small_batches, with_class
+from weft.storage import discard, materialise, new_path
 
 WIDTH = 192
 #: Fixed values of the PNG format.
@@ -132,7 +133,7 @@ def _write(folder: str):
                     shard = Shard(folder, f"{task.partitionId()}-{task.taskAttemptId()}-{number}.tar")
                     number += 1
                 data, n = payload(text)
-                digest = hashlib.sha256(data[:n]).digest()
+                digest = hashlib.sha256(data).digest()
                 at = shard.known.get(digest) or shard.add(digest, encode(data))
                 out.append((digest, n, shard.name, *at))
             rows = pd.DataFrame(out, columns=["digest", "n_bytes", "shard", "offset", "length"])
@@ -156,10 +157,12 @@ def _read(folder: str):
                 width, height, depth = read_header(source.read_at(HEADER_BYTES, r.offset))
                 media = source.read_at(r.length, r.offset)
                 samples = decode(media)
+                if hashlib.sha256(samples).digest() != r.digest:
+                    raise ValueError(f"not the content of {r.digest.hex()}: {r.shard} at {r.offset}")
                 out.append(
-                    (r.digest, width, height, depth, len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).digest(), describe(samples, width, height, depth))
+                    (r.digest, r.shard, r.offset, r.length, r.size, width, height, depth, len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).digest(), describe(samples, width, height, depth))
                 )
-            yield pd.DataFrame(out, columns=["digest", "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pd.DataFrame(out, columns=["digest", "shard", "offset", "length", "size", "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return run
 
@@ -191,8 +194,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folde
 
 
 def places(manifest: DataFrame) -> DataFrame:
-    """(digest, shard, offset, length): one place of each content."""
-    return manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
+    """(digest, shard, offset, length, size): one place of each content, and how many rows have it."""
+    return manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"), F.count("*").alias("size")).select("digest", "p.*", "size")
 
 
 def dealt(places: DataFrame) -> DataFrame:
@@ -214,17 +217,21 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Columns: id_col, digest, n_bytes, shard (a URI), offset, length, width,
     height, depth, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature; digests in lowercase hex. Null texts are empty;
-    empty payloads are one row of spaces; null ids stay null; equal texts
-    give equal values; an empty table gives an empty result; other columns
-    are ignored.
+    empty payloads are one row of spaces; texts of any length are stored
+    whole; null ids stay null; repeated rows and equal texts give equal
+    values; texts that differ in spaces at their end within the padding share
+    a payload; an empty table gives an empty result; other columns are
+    ignored.
     """
     manifest, folder = store(docs, id_col, text_col, folder)
     one = materialise(places(manifest), "places")
     read = dealt(one).mapInPandas(
         _read(folder),
-        "digest binary, width long, height long, depth int, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string",
+        "digest binary, shard string, offset long, length long, size long, width long, height long, depth int,"
+        " payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string",
     )
     read = materialise(read, "features")
+    discard(one)
     hexed = {c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")}
-    found = manifest.select(F.col("id").alias(id_col), "digest", "n_bytes").join(read.join(one, "digest"), "digest")
+    found = with_class(manifest.select(F.col("id").alias(id_col), "digest", "n_bytes"), read, "digest", manifest.count())
     return found.withColumns(hexed | {"shard": F.concat(F.lit(f"{folder}/"), "shard")})

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import MIX, give_back, hashes, scramble, small_batches, unused, words
+from weft.llm.common import HOT_SHARE, MIX, give_back, hashes, same_id, scramble, small_batches, unused, words
 from weft.operators.components import connected_components
 from weft.storage import discard, materialise
 
@@ -50,8 +50,6 @@ _MUL = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.u
 #: Candidates whose estimate is this far below the threshold are not verified;
 #: six standard errors of the estimate at 160 registers.
 SLACK = 6 * math.sqrt(0.25 / REGISTERS) * 0.8
-#: A class of a larger share of all rows than one in so many is joined by a broadcast.
-HOT_SHARE = 1000
 #: Ids of candidates are broadcast up to this size; beyond it both sides shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -307,14 +305,6 @@ def _units(of, num: int, den: int):
     return run
 
 
-def _same_id(named: DataFrame) -> DataFrame:
-    """(a, b): classes that an id with several texts connects."""
-    h = F.xxhash64("digest")
-    several = named.groupBy("id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("id")
-    rows = materialise(named.join(several, "id").select("id", "digest").distinct(), "several")
-    return rows.join(rows.groupBy("id").agg(F.min("digest").alias("a")), "id").select("a", F.col("digest").alias("b")).where("a <> b")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
@@ -369,7 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         likely.join(sets.select(F.col("digest").alias("a"), F.col("items").alias("xa")), "a")
         .join(sets.select(F.col("digest").alias("b"), F.col("items").alias("xb")), "b")
         .mapInPandas(_verified(num, den), "a binary, b binary")
-        .unionByName(_same_id(named)),
+        .unionByName(same_id(named)),
         "links",
     )
     labels = connected_components(star, "a", "b")

@@ -20,7 +20,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.media import media_columns
 
     return media_columns(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "digest", "shard", "offset", "length"
     )
 
 
