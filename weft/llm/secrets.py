@@ -24,11 +24,12 @@ from itertools import chain
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import small_batches
+from weft.llm.common import by_slices, small_batches
 
 #: The base kinds and their patterns. Runs are maximal, so the least lengths can stand in the patterns.
 KINDS = ("assign", "access", "hex")
@@ -363,10 +364,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.withColumnRenamed("id", id_col)
 
 
-def _redact(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else redacted(t, s) if (s := all_spans(t)) else t)
+def _redact(texts: list[str | None]) -> list[str | None]:
+    return [redacted(t, found) if t is not None and (found := all_spans(t)) else t for t in texts]
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every secret in text_col replaced; all rows and columns stay, null texts stay null."""
-    return docs.withColumn(text_col, F.pandas_udf(_redact, "string")(F.col(text_col).cast("string")))
+    """docs with every secret in text_col replaced.
+
+    All rows and columns stay, whatever the others hold or are called; null
+    texts stay null, empty ones empty; equal texts give equal ones; texts of
+    any length are handled whole; an empty table gives an empty one.
+    """
+    return docs.withColumn(text_col, F.arrow_udf(by_slices(_redact, pa.string()), "string")(F.col(f"`{text_col}`").cast("string")))
