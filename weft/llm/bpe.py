@@ -326,13 +326,15 @@ def bpe_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     vocabulary: path of a tokenizers JSON file with a byte-level BPE model; it
     is read once by the driver and broadcast (a vocabulary's size is fixed).
     Special tokens' strings in a text become their ids. Null and empty texts
-    have no ids and decode to ""; null ids stay null; every row gives a row;
-    an empty table gives an empty result; other columns are ignored.
+    have no ids and decode to ""; texts of any length are encoded whole; of
+    pairs with equal rank the leftmost merges first; null ids stay null; every
+    row gives a row, equal texts equal ids; an empty table gives an empty
+    result; other columns are ignored.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     more = [F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)]
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[2:])
     coded = plain.mapInArrow(_coder(spec, decode), "id long, ids binary, decoded string" + kinds)
     return coded.select(F.col("id").alias(id_col), "ids", "decoded", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])

@@ -291,7 +291,9 @@ def lm_scores(
 
     Learns from rows with crc32(id as text) mod folds <> held_fold; a null id
     counts as the empty text there and stays null in the result. A null text
-    is empty: one end token. Repeated rows count each time. Without training
+    is empty: one end token; texts of any length are read whole (one that is
+    longer than a chunk is a chunk of its own). Repeated rows count each time
+    and get equal scores. Without training
     rows every count is zero. An empty table gives an empty result; other
     columns are ignored.
     """

@@ -170,8 +170,10 @@ def _taken(df: DataFrame, table: DataFrame, n: int) -> DataFrame:
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
     """(id, size, source_size, target, taken, shards) for every row of docs.
 
-    size: words of the text (null: 0). taken: words the mixture takes, size
-    times the row's copies; shards: where its copies go. Null sources are one
+    size: words of the text, however long (null: 0). taken: words the mixture
+    takes, size times the row's copies; shards: where its copies go. Rows that
+    tie at the cut of a source (equal ids and texts) are taken as often as the
+    target leaves room for, by a hash of the row. Null sources are one
     source, sorted last; null ids stay null; repeated rows are rows of their
     own; a source without words has target 0; an empty table gives an empty
     result; other columns are ignored.
@@ -194,8 +196,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
     """The mixture itself: rows of docs as often as they are taken, dealt to shards and shuffled inside them.
 
-    Has the columns of docs alone. Texts are read twice, to be measured and
-    to be dealt out. See plan() for nulls, ties, repeats and empty tables.
+    Has the columns of docs alone, whatever they are called. Texts are read
+    twice, to be measured and to be dealt out. See plan() for nulls, ties,
+    repeats and empty tables; rows without words are taken as often as their
+    source.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     h = _row_hash(id_col, text_col, seed)
