@@ -5,6 +5,12 @@ and reread as the next one's docs: toxicity (rejected documents go), MinHash
 near-dedup (one document of each group stays), secret scans (secrets are
 replaced), mixing to target weights (documents stay as often as the mixture
 takes them), BPE (token ids, and the text they decode to).
+
+In every stage null and empty texts are documents like others (they are kept,
+hold no secret and encode to no ids), null ids stay null, repeated rows are
+rows of their own but for near-dedup's groups, texts of any length are handled
+whole, an empty table gives an empty one, and further columns pass through all
+stages but the last.
 """
 
 from __future__ import annotations
