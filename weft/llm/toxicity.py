@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from sys import intern
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import by_slices, remainder, small_batches
+from weft.llm.common import by_slices, give_back, remainder, small_batches
 from weft.llm.quality import SAMPLE_BYTES, labelled
 
 #: The most labelled rows that are learned from, and the most features kept, those that tell most.
@@ -83,29 +83,32 @@ def train(
 ) -> tuple[dict[str, float], float]:
     """Weights of the ``most_features`` features that tell most, and the bias."""
     rng = np.random.default_rng(seed)
-    bags = [set(map(intern, words_of(t))) for t in texts]
-    others = kinds_of(identity)
-    groups = {w for w in others if any(w in b for b in bags)}
-    kind = [Counter(), Counter()]
+    bags = lambda: map(words_of, texts)  # noqa: E731  made anew in each pass, so that no more than one is held
+    others, groups = kinds_of(identity), set()
     seen = np.zeros(1 << 22, np.uint8)  # a first count by hash, at least the true one, so that rare features take no memory
-    for b in bags:
+    for b in bags():
+        groups |= b & others.keys()
         at = np.fromiter(map(hash, features(b)), np.int64) & (len(seen) - 1)
         seen[at] = np.minimum(seen[at] + 1, 100)
-    for b, k in zip(bags, y, strict=True):
+    kind = [Counter(), Counter()]
+    for b, k in zip(bags(), y, strict=True):
         kind[k].update(f for f in features(b) if seen[hash(f) & (len(seen) - 1)] >= 3)
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
-    gain: dict[str, float] = {}
-    for f in kind[0].keys() | kind[1].keys():
-        a, b = kind[1][f], kind[0][f]
-        if a + b >= 3:
-            p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-            gain[f] = abs(p - q) * abs(np.log(p / q))
-    kept = sorted(gain, key=lambda f: (-gain[f], f))[:most_features]
+
+    def gains() -> Iterator[tuple[float, str]]:
+        for f in kind[0].keys() | kind[1].keys():
+            a, b = kind[1][f], kind[0][f]
+            if a + b >= 3:
+                p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
+                yield -abs(p - q) * abs(np.log(p / q)), f
+
+    kept = [f for _, f in nsmallest(most_features, gains())]
     index = {f: i for i, f in enumerate(dict.fromkeys([*kept, *(g for w in sorted(groups) for g in sorted(features({w})))]))}
-    del kind, gain
-    rows = _matrix(bags, index)
+    del kind
+    rows: list[np.ndarray] = []
     twins: dict[int, np.ndarray] = {}
-    for i, b in enumerate(bags):
+    for i, b in enumerate(bags()):
+        rows += _matrix([b], index)
         if own := b & groups:
             swapped = b - own
             for g in sorted(own):  # half of the time for a placeholder without weight, as terms of a kind may be alike in their weights
@@ -184,7 +187,12 @@ def fitted(
 ):
     """A broadcast model learned from a bounded sample of labelled rows outside the held-out fold; see labelled."""
     known = labelled(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, sample_bytes)
-    return docs.sparkSession.sparkContext.broadcast(train(list(known["text"]), known["y"].to_numpy(int), most_features=most_features))
+    texts, y = known["text"].tolist(), known["y"].to_numpy(int)
+    del known
+    model = docs.sparkSession.sparkContext.broadcast(train(texts, y, most_features=most_features))
+    del texts
+    give_back()
+    return model
 
 
 def toxicity_scores(
