@@ -5,14 +5,16 @@ values); every step selects the feature with the largest squared product,
 then subtracts nu times that product times the covariance (centred values)
 with the selected feature. The distinct selections are the target's edges.
 
-State is kept in sample space: after some steps the product with feature c is
-X_c . X_y - Z_c . R_y, with R_y the sum of the updates times Z_sel / (n - 1).
-So a step is one matrix product with an arg-max, and targets are independent.
+With more samples than features the products of all features are summed once
+and the steps need nothing else. Otherwise state is kept in sample space:
+after some steps the product with feature c is X_c . X_y - Z_c . R_y, with R_y
+the sum of the updates times Z_sel / (n - 1). So a step is one matrix product
+with an arg-max, and targets are independent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,14 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.products import feature_stats, fits, products, sample_rows
 from weft.sources.matrix import MAX_FEATURES, to_vectors
 from weft.storage import discard, materialise
 
 NU = 0.1
 #: A matrix up to this size is broadcast; a larger one is met block by block.
 BROADCAST_BYTES = 256 << 20
-#: Features to a block.
+#: Features to a block, and bytes of it.
 BLOCK = 512
+BLOCK_BYTES = 32 << 20
 TINY = np.finfo(float).tiny
 
 
@@ -45,32 +49,48 @@ def _select(nom: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.where(square[best, np.arange(nom.shape[1])] > TINY, best, last)
 
 
-def boost_block(x: np.ndarray, z: np.ndarray, targets: np.ndarray, stepno: int) -> np.ndarray:
-    """(targets, stepno) selections, as columns of x, of the targets (columns of x)."""
-    n, cols = len(x), np.arange(len(targets))
-    nom = x.T @ x[:, targets]
+def _boost(nom: np.ndarray, targets: np.ndarray, centred: Callable[[np.ndarray], np.ndarray], n: int, stepno: int) -> np.ndarray:
+    """(targets, stepno) selections from the products with the targets; ``centred`` gives centred products with features."""
+    cols = np.arange(len(targets))
     nom[targets, cols] = np.nan  # a feature isn't its own candidate
-    last = np.where(targets == 0, min(1, x.shape[1] - 1), 0)
+    last = np.where(targets == 0, min(1, len(nom) - 1), 0)
     out = np.empty((len(targets), stepno), np.int64)
     for step in range(stepno):
         if step:
-            nom -= update * (z.T @ z[:, last]) / (n - 1)  # noqa: F821
+            nom -= update * centred(last) / (n - 1)  # noqa: F821
         last = _select(nom, last)
         update = NU * nom[last, cols]
         out[:, step] = last
     return out
 
 
+def boost_block(x: np.ndarray, z: np.ndarray, targets: np.ndarray, stepno: int) -> np.ndarray:
+    """(targets, stepno) selections, as columns of x, of the targets (columns of x)."""
+    return _boost(x.T @ x[:, targets], targets, lambda last: z.T @ z[:, last], len(x), stepno)
+
+
+def _chosen(pdf: pd.DataFrame, ids: np.ndarray, stepno: int, boost: Callable[[np.ndarray], np.ndarray]) -> Iterator[pd.DataFrame]:
+    for k in range(0, len(pdf), 64):
+        own = np.searchsorted(ids, pdf["feature_id"].to_numpy()[k : k + 64])
+        yield pd.DataFrame({"y": ids[own].repeat(stepno), "c": ids[boost(own)].ravel()}).drop_duplicates()
+
+
 def _kernel(shared, stepno: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, raw, n = shared.value
         x = np.frombuffer(raw, float).reshape(-1, n).T
         z = x - x.mean(axis=0)
         for pdf in batches:
-            for k in range(0, len(pdf), 64):
-                own = np.searchsorted(ids, pdf["feature_id"].to_numpy()[k : k + 64])
-                chosen = boost_block(x, z, own, stepno)
-                yield pd.DataFrame({"y": ids[own].repeat(stepno), "c": ids[chosen].ravel()}).drop_duplicates()
+            yield from _chosen(pdf, ids, stepno, lambda own: boost_block(x, z, own, stepno))
+
+    return run
+
+
+def _products_kernel(shared, stepno: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, raw, centred, n = shared.value
+        for pdf in batches:
+            yield from _chosen(pdf, ids, stepno, lambda own: _boost(raw[:, own], own, lambda last: centred[:, last], n, stepno))
 
     return run
 
@@ -78,21 +98,28 @@ def _kernel(shared, stepno: int):
 def selections(long: DataFrame, stepno: int = 20, until: int = 0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(y, c): the features c that boosting selects for each target y."""
     _check(stepno, until)
-    vectors = materialise(to_vectors(long), "vectors")
-    shape = vectors.agg(F.count("*").alias("p"), F.max(F.size("vec")).alias("n")).first()
+    stats = feature_stats(long)
+    shape = stats.agg(F.count("*").alias("p"), F.max("n").alias("n")).first()
     if (shape.p or 0) < 2:
         raise ValueError("boosting needs two features or more")
     if shape.p > MAX_FEATURES:
         raise ValueError(f"more than {MAX_FEATURES} features")
-    targets = vectors.select("feature_id")
+    targets = stats.select("feature_id")
     if until:
         targets = targets.orderBy("feature_id").limit(until)
+    parts = max(1, min(shape.p // 16, long.sparkSession.sparkContext.defaultParallelism * 4))
+    if fits(shape.p, shape.n) and 16 * shape.p**2 <= broadcast_bytes:
+        sums = products(sample_rows(long), stats)
+        if (sums.counts < sums.n).any():
+            raise ValueError("a feature lacks samples that others have")
+        shared = long.sparkSession.sparkContext.broadcast((sums.ids, sums.raw, sums.centred, sums.n))
+        return targets.repartition(parts, "feature_id").mapInPandas(_products_kernel(shared, stepno), "y long, c long")
+    vectors = materialise(to_vectors(long), "vectors")
     if shape.p * shape.n * 8 > broadcast_bytes:
-        return _selections_by_blocks(vectors, targets, shape.p, stepno)
+        return _selections_by_blocks(vectors, targets, max(-(-shape.p // BLOCK), -(-shape.p * shape.n * 8 // BLOCK_BYTES)), stepno)
     rows = vectors.orderBy("feature_id").toPandas()  # at most broadcast_bytes, checked above
     data = np.array(list(rows["vec"]), float)
     shared = long.sparkSession.sparkContext.broadcast((rows["feature_id"].to_numpy(np.int64), data.tobytes(), data.shape[1]))
-    parts = max(1, min(shape.p // 16, long.sparkSession.sparkContext.defaultParallelism * 4))
     return targets.repartition(parts, "feature_id").mapInPandas(_kernel(shared, stepno), "y long, c long")
 
 
@@ -116,9 +143,8 @@ def _best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"y": own[ok], "c": ids[best[ok]], "nom": nom[best[ok], np.flatnonzero(ok)]})
 
 
-def _selections_by_blocks(vectors: DataFrame, targets: DataFrame, p: int, stepno: int) -> DataFrame:
+def _selections_by_blocks(vectors: DataFrame, targets: DataFrame, blocks: int, stepno: int) -> DataFrame:
     """For matrices beyond a broadcast: each step, target blocks meet feature blocks over generated block numbers."""
-    blocks = -(-p // BLOCK)
     own = F.pmod(F.xxhash64("feature_id"), F.lit(blocks)).cast("int").alias("block")
     pack = "block int, ids binary, data binary, n long"
     features = materialise(vectors.select(own, "feature_id", "vec").groupBy("block").applyInPandas(_pack, pack), "feature-blocks")

@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.scaling import ranked
+from weft.operators.products import feature_stats, fits, products, sample_rows
+from weft.operators.scaling import center, ranked
 from weft.sources.matrix import to_vectors
 
 METHODS = ("pearson", "spearman", "kendall")
 #: The powers that are tried for scale-free topology.
 POWERS = (*range(1, 11), *range(12, 21))
+#: Samples to a piece of a feature's vector.
+PIECE = 4096
 
 
 def pair_moments(long: DataFrame) -> DataFrame:
@@ -113,15 +116,74 @@ def _pairwise(method: str):
     return run
 
 
+def _looked_up(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, corr, lacking = shared.value
+        for pdf in batches:
+            i, j = pdf["i"].to_numpy(np.int64), pdf["j"].to_numpy(np.int64)
+            a, b = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (i, j))
+            ok = (ids[a] == i) & (ids[b] == j)
+            i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+            if lacking[a].any() or lacking[b].any():
+                raise ValueError("a feature lacks samples that others have")
+            yield pd.DataFrame({"i": i, "j": j, "corr": corr[a, b]})
+
+    return run
+
+
+def _piece_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        pairs = [(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(pdf["va"], pdf["vb"], strict=True)]
+        sums = np.array([(a @ b, a @ a, b @ b) for a, b in pairs]).reshape(-1, 3)
+        yield pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "ab": sums[:, 0], "aa": sums[:, 1], "bb": sums[:, 2]})
+
+
+def _kendall_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+    a, b = np.concatenate(list(pdf["va"])), np.concatenate(list(pdf["vb"]))
+    return pd.DataFrame({"i": pdf["i"].iloc[:1], "j": pdf["j"].iloc[:1], "corr": [kendall(a.astype(float), b.astype(float))]})
+
+
+def _met(edges: DataFrame, vec: DataFrame, *by: str) -> DataFrame:
+    return edges.select("i", "j").join(vec.select(F.col("feature_id").alias("i"), *by, F.col("vec").alias("va")), "i").join(
+        vec.select(F.col("feature_id").alias("j"), *by, F.col("vec").alias("vb")), ["j", *by]
+    )
+
+
+def _by_pieces(edges: DataFrame, long: DataFrame, method: str, pieces: int) -> DataFrame:
+    """Vectors meet piece by piece; a piece's samples are the same of every feature. An edge comes once."""
+    edges = edges.select("i", "j").distinct()
+    cut = long.withColumn("piece", F.pmod(F.xxhash64("sample_id"), F.lit(pieces)).cast("int"))
+    if method == "kendall":  # needs both vectors of a pair in one place, but no more than one pair
+        met = _met(edges, to_vectors(cut, "piece"), "piece").select("i", "j", "piece", "va", "vb")
+        return met.groupBy("i", "j").applyInPandas(_kendall_pieces, "i long, j long, corr double")
+    cut = center(long).withColumn("piece", F.pmod(F.xxhash64("sample_id"), F.lit(pieces)).cast("int"))
+    sums = _met(edges, to_vectors(cut, "piece"), "piece").select("i", "j", "va", "vb").mapInPandas(_piece_sums, "i long, j long, ab double, aa double, bb double")
+    total = sums.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("ab", "aa", "bb")))
+    size = F.sqrt("aa") * F.sqrt("bb")
+    return total.select("i", "j", (F.col("ab") / F.when(size > 0, size)).alias("corr"))
+
+
 def edge_correlation(edges: DataFrame, long: DataFrame, method: str = "pearson") -> DataFrame:
-    """(i, j, corr) of each edge: two equi joins with the feature vectors, then vectorised."""
+    """(i, j, corr) of each edge.
+
+    With more samples than features (MOST_FEATURES at most) it is looked up
+    among the products of all features; otherwise vectors meet in two equi
+    joins, in pieces of about PIECE samples.
+    """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    vec = to_vectors(ranked(long) if method == "spearman" else long)
-    pairs = edges.select("i", "j").join(vec.select(F.col("feature_id").alias("i"), F.col("vec").alias("va")), "i").join(
-        vec.select(F.col("feature_id").alias("j"), F.col("vec").alias("vb")), "j"
-    )
-    return pairs.select("i", "j", "va", "vb").mapInPandas(_pairwise(method), "i long, j long, corr double")
+    stats = feature_stats(long)
+    shape = stats.agg(F.count("*").alias("p"), F.max("n").alias("n")).first()
+    if method == "spearman":
+        long = ranked(long)
+    if method != "kendall" and fits(shape.p, shape.n):
+        sums = products(sample_rows(long), feature_stats(long) if method == "spearman" else stats)
+        shared = long.sparkSession.sparkContext.broadcast((sums.ids, sums.correlations(), sums.counts < sums.n))
+        return edges.select("i", "j").mapInPandas(_looked_up(shared), "i long, j long, corr double")
+    pieces = -(-(shape.n or 0) // PIECE)
+    if pieces > 1:
+        return _by_pieces(edges, long, method, pieces)
+    return _met(edges, to_vectors(long)).select("i", "j", "va", "vb").mapInPandas(_pairwise(method), "i long, j long, corr double")
 
 
 def adjacency(edges: DataFrame, long: DataFrame, soft_power: float = 2, method: str = "pearson") -> DataFrame:

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.eigengenes import principal_components
+from weft.operators.eigengenes import TASK_CELLS, principal_components
 from weft.operators.forest import dendrogram, leaf_positions, relabelled
+from weft.operators.products import MOST_FEATURES, feature_stats, products, sample_rows
 from weft.storage import materialise
 
 #: Merges above this height never join a module.
@@ -112,20 +113,39 @@ def _close(cut: float):
     return run
 
 
-def merge_close(modules: DataFrame, long: DataFrame, threshold: float = 0.25, rounds: int = 100) -> DataFrame:
+def _changes(mes: DataFrame, threshold: float, task_cells: int) -> DataFrame:
+    """(tree_id, module, merged) of eigengenes; a tree of more than task_cells scores by their products, others in a task each."""
+    spark = mes.sparkSession
+    sizes = mes.groupBy("tree_id").agg(F.count("*").alias("cells"), F.countDistinct("module").alias("p"))
+    large = sizes.where((F.col("cells") > task_cells) & (F.col("p") <= MOST_FEATURES)).select("tree_id").collect()
+    got = []
+    for tree in (r.tree_id for r in large):
+        own = mes.where(F.col("tree_id") == tree).select("sample_id", F.col("module").alias("feature_id"), "value")
+        found = products(sample_rows(own), feature_stats(own))
+        group = average_linkage_groups(1 - found.correlations(), threshold)
+        got += [(tree, int(m), int(found.ids[g])) for m, g in zip(found.ids, group, strict=True)]
+    kinds = "tree_id long, module long, merged long"
+    rest = mes.join(F.broadcast(spark.createDataFrame([(r.tree_id,) for r in large], "tree_id long")), "tree_id", "left_anti") if large else mes
+    small = rest.groupBy("tree_id").applyInPandas(_close(threshold), kinds)
+    return small.unionByName(spark.createDataFrame(got, kinds)) if large else small
+
+
+def merge_close(modules: DataFrame, long: DataFrame, threshold: float = 0.25, rounds: int = 100, stats: DataFrame | None = None, task_cells: int = TASK_CELLS) -> DataFrame:
     """Modules whose eigengenes are within ``threshold`` of one another (1 - correlation, average linkage) merged.
 
     Repeated until nothing merges; a merged module has its smallest label;
     0 never merges. Each round computes eigengenes of all trees at once.
+    ``stats`` and ``task_cells`` as of ``principal_components``.
     """
+    stats = feature_stats(long) if stats is None else stats
     now = materialise(modules, "modules")
     for _ in range(rounds):
         real = now.where("module <> 0")
         many = real.select("tree_id", "module").distinct().groupBy("tree_id").count().where("count > 1")
         if many.isEmpty():
             break
-        mes = principal_components(real.join(many.select("tree_id"), "tree_id", "left_semi"), long, n_pc=1, aligned=True).scores
-        change = materialise(mes.groupBy("tree_id").applyInPandas(_close(threshold), "tree_id long, module long, merged long"), "change")
+        mes = principal_components(real.join(many.select("tree_id"), "tree_id", "left_semi"), long, n_pc=1, aligned=True, stats=stats, task_cells=task_cells).scores
+        change = materialise(_changes(mes, threshold, task_cells), "change")
         if change.where("module <> merged").isEmpty():
             break
         now = materialise(now.join(change, ["tree_id", "module"], "left").select("tree_id", "feature_id", F.coalesce("merged", "module").alias("module")), "modules")

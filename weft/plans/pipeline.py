@@ -13,6 +13,7 @@ from weft.operators.correlation import METHODS, adjacency, pair_moments, pick_so
 from weft.operators.eigengenes import Components, principal_components
 from weft.operators.forest import tree_members
 from weft.operators.modules import cut_trees, merge_close
+from weft.operators.products import feature_stats
 from weft.operators.scaling import scale as scaled_matrix
 from weft.operators.summary import numbering, renumbered, statistics
 from weft.operators.tom import tom_distance
@@ -121,8 +122,9 @@ def aggregate(forest: DataFrame, long: DataFrame, params: Params, singletons: in
     """(trees, modules by tree, their components) of a forest."""
     members = tree_members(forest)
     cut = materialise(cut_trees(forest, members, singletons, params.min_cluster_size), "modules")
-    merged = merge_close(cut, long, params.me_diss_thres)
-    return members, merged, principal_components(merged, long, params.n_pc, params.min_var_explained)
+    stats = feature_stats(long)
+    merged = merge_close(cut, long, params.me_diss_thres, stats=stats)
+    return members, merged, principal_components(merged, long, params.n_pc, params.min_var_explained, stats=stats)
 
 
 def fit(long: DataFrame, feature_dim: DataFrame, params: Params = Params()) -> Model:  # noqa: B008

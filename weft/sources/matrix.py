@@ -61,10 +61,10 @@ def to_wide(long: DataFrame, names: list[tuple[int, str]]) -> DataFrame:
     return wide.select("sample_id", *[F.col(f"`{i}`").alias(c) for i, c in names])
 
 
-def to_vectors(long: DataFrame) -> DataFrame:
-    """(feature_id, vec), values in order of sample_id."""
+def to_vectors(long: DataFrame, *by: str) -> DataFrame:
+    """(feature_id, vec), values in order of sample_id; by further columns too, if named."""
     pairs = F.sort_array(F.collect_list(F.struct("sample_id", "value")))
-    return long.groupBy("feature_id").agg(pairs.alias("p")).select("feature_id", F.col("p.value").alias("vec"))
+    return long.groupBy("feature_id", *by).agg(pairs.alias("p")).select("feature_id", *by, F.col("p.value").alias("vec"))
 
 
 def subset(long: DataFrame, features: DataFrame) -> DataFrame:
