@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.storage import materialise
+
+#: Moments of so many features are broadcast; the values of more are dealt evenly by feature.
+BROADCAST_FEATURES = 100_000
+
 
 def _with_moments(long: DataFrame) -> DataFrame:
-    """Each value with its feature's mean and sd: one partial aggregation, no window over a feature."""
-    moments = long.groupBy("feature_id").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    return long.join(moments, "feature_id")
+    """Each value with its feature's mean and sd: one partial aggregation, no window over a feature.
+
+    Values meet the moments where they are: a shuffle by feature would bring
+    all values of a feature to one task.
+    """
+    moments = materialise(long.groupBy("feature_id").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")), "moments")
+    return long.join(F.broadcast(moments) if moments.count() <= BROADCAST_FEATURES else moments, "feature_id")
 
 
 def scale(long: DataFrame) -> DataFrame:
